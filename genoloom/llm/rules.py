@@ -1,10 +1,10 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-A line is normalised (lower case, white space runs as one space, trimmed) and hashed. For each host
+A line is normalised (lower case, without white space at its ends) and hashed. For each host
 the distinct texts that hold a line are counted; exact copies of a text count once. A line is
 *boilerplate* on its host when it stands in at least ``min_docs`` distinct texts and in more than
 ``max_fraction`` of the host's rows. A document is rejected when it fails the base rules or when its
-boilerplate lines leave it less than ``min_left`` of its words (it is depleted).
+boilerplate lines leave it less than ``min_left`` of its lines' characters (it is depleted).
 
 There are at most 1/max_fraction times the mean number of lines of a document in boilerplate lines
 a host, so they fit one array a host. Documents meet it by a salted join, as one host may hold a
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from genoloom.llm.common import WS, documents, salted_join
 
 SYMBOLS = "#*$%&|<>"
+BLANKS = " \t\n\x0b\f\r"
 
 
 def words_of(text: Column) -> Column:
@@ -31,7 +32,7 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hash(line: Column) -> Column:
-    return F.xxhash64(F.trim(F.regexp_replace(F.lower(line), WS, " ")))
+    return F.xxhash64(F.lower(F.btrim(line, F.lit(BLANKS))))
 
 
 def host_key(host: Column) -> Column:
@@ -40,7 +41,7 @@ def host_key(host: Column) -> Column:
 
 def features(docs: DataFrame) -> DataFrame:
     """Adds the base counts to rows with ``__text``; every step is one column, so that none is computed twice."""
-    w5 = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(*(F.try_element_at(w, i + j) for j in range(5))))
+    w5 = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(5))))
     out = docs.withColumn("__text", F.coalesce("__text", F.lit("")))
     out = out.withColumns({"__words": words_of(F.col("__text")), "__lines": lines_of(F.col("__text"))})
     out = out.withColumns(
@@ -49,6 +50,7 @@ def features(docs: DataFrame) -> DataFrame:
             "__joined": F.array_join("__words", ""),
             "__w5": F.when(F.size("__words") > 4, w5(F.col("__words"))).otherwise(F.array().cast("array<bigint>")),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
+            "__sized": F.transform("__lines", lambda x: F.struct(line_hash(x).alias("h"), F.length(x).alias("n"))),
         }
     )
     out = out.withColumns(
@@ -86,26 +88,25 @@ def boilerplate(docs: DataFrame, min_docs: int, max_fraction: float) -> DataFram
 
 
 def judged(docs: DataFrame, min_docs: int, max_fraction: float, min_left: float) -> DataFrame:
-    """``docs`` (__text, __host, ...) with the base counts, __left (the text without boilerplate lines), n_common_words, kept."""
+    """``docs`` (__text, __host, ...) with the base counts, __left (the text without boilerplate lines), n_common_chars, kept."""
     common = boilerplate(docs, min_docs, max_fraction)
     hosts = docs.select("__host").distinct().join(common, "__host", "left")
-    out = salted_join(docs.withColumn("__pick", F.xxhash64("__text", "__id")), hosts, ["__host"], F.col("__pick"))
-    out = features(out)
-    is_common = lambda x: F.array_contains(F.col("__common"), line_hash(x))
-    out = out.withColumn("__gone", F.when(F.col("__common").isNull(), F.array().cast("array<string>")).otherwise(F.filter("__lines", is_common)))
-    out = out.withColumn("n_common_words", F.size(words_of(F.array_join("__gone", " "))).cast("bigint"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_common_words") >= min_left * F.col("n_words")))
+    out = salted_join(features(docs).withColumn("__pick", F.xxhash64("__text", "__id")), hosts, ["__host"], F.col("__pick"))
+    total = lambda sized: F.aggregate(sized, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    gone = F.filter("__sized", lambda x: F.array_contains(F.col("__common"), x["h"]))
+    out = out.withColumns({"n_line_chars": total(F.col("__sized")), "n_common_chars": F.when(F.col("__common").isNull(), F.lit(0).cast("bigint")).otherwise(total(gone))})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_line_chars") - F.col("n_common_chars") >= min_left * F.col("n_line_chars")))
 
 
 def quality_rules(docs: DataFrame, min_docs: int = 20, max_fraction: float = 0.1, min_left: float = 0.3, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row a document: doc_id, the base counts, base_failed, n_common_words, kept.
+    """One row a document: doc_id, the base counts, base_failed, n_common_chars, kept.
 
     Null text: no words, so base_failed. Null hosts form one host. Null and repeated ids are carried
     through, row for row; other columns are ignored; an empty table gives an empty result.
     """
     own = documents(docs, id_col, text_col, host=host_col).withColumn("__host", host_key(F.col("__host")))
     return judged(own, min_docs, max_fraction, min_left).select(
-        F.col("__id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words", "kept"
+        F.col("__id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_chars", "kept"
     )
 
 
@@ -113,7 +114,7 @@ def clean(docs: DataFrame, min_docs: int = 20, max_fraction: float = 0.1, min_le
     """The kept documents, all their columns, their boilerplate lines removed and ``length_col`` (where there is one) set anew."""
     own = docs.select(*(docs[c].alias(f"__in_{i}") for i, c in enumerate(docs.columns)), docs[id_col].alias("__id"), docs[text_col].alias("__text"), host_key(docs[host_col]).alias("__host"))
     rows = judged(own, min_docs, max_fraction, min_left).filter("kept")
-    left = F.when(F.size("__gone") == 0, F.col("__text")).otherwise(F.array_join(F.filter(F.split("__text", "\n"), lambda x: ~F.array_contains(F.col("__common"), line_hash(x))), "\n"))
+    left = F.when(F.col("n_common_chars") == 0, F.col("__text")).otherwise(F.array_join(F.filter(F.split("__text", "\n"), lambda x: ~F.array_contains(F.col("__common"), line_hash(x))), "\n"))
     rows = rows.withColumn("__left", left)
     new = {text_col: F.col("__left"), length_col: F.length("__left").cast("bigint")}
     return rows.select(*(new.get(c, F.col(f"__in_{i}")).alias(c) for i, c in enumerate(docs.columns)))
@@ -135,16 +136,16 @@ rep AS (
   SELECT rid, count(DISTINCT i + j) AS n FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM five), (SELECT unnest(range(5)) AS j)
   WHERE c > 1 GROUP BY rid),
 l AS (
-  SELECT rid, doc_id, host, t, x, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
-  FROM (SELECT rid, doc_id, host, t, unnest(ls) AS x FROM b)),
+  SELECT rid, host, t, x, lower(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS line
+  FROM (SELECT rid, host, t, unnest(ls) AS x FROM b)),
 f AS (
   SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM l GROUP BY 1, 2)
   JOIN (SELECT host, count(*) AS size FROM d GROUP BY 1) USING (host) WHERE n >= 20 AND n > 0.1 * size),
-gone AS (
-  SELECT rid, sum(len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''))) AS n FROM l JOIN f USING (host, line) GROUP BY rid)
+gone AS (SELECT rid, sum(length(x)) AS n FROM l JOIN f USING (host, line) GROUP BY rid),
+a AS (SELECT rid, sum(length(x)) AS n FROM l GROUP BY rid)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        coalesce(rep.n, 0)::BIGINT AS n_repeat_words, n_words < 10 OR 100 * coalesce(rep.n, 0) > 20 * n_words AS base_failed,
-       coalesce(gone.n, 0)::BIGINT AS n_common_words,
-       NOT (n_words < 10 OR 100 * coalesce(rep.n, 0) > 20 * n_words) AND n_words - coalesce(gone.n, 0) >= 0.3 * n_words AS kept
-FROM b LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid)
+       coalesce(gone.n, 0)::BIGINT AS n_common_chars,
+       NOT (n_words < 10 OR 100 * coalesce(rep.n, 0) > 20 * n_words) AND coalesce(a.n, 0) - coalesce(gone.n, 0) >= 0.3 * coalesce(a.n, 0) AS kept
+FROM b LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid) LEFT JOIN a USING (rid)
 """
