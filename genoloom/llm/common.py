@@ -24,6 +24,8 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[[32, 9, 10, 11, 12, 13]] = True
+#: Everything but letters, digits and bytes of non-ASCII characters.
+_IS_MARK = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -52,13 +54,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of consecutive texts: byte ranges, text index and 64-bit hash of each."""
+    """Words of consecutive texts: byte ranges, text index and 64-bit hash of each; ``marks``: ASCII marks separate words too."""
 
     __slots__ = ("data", "starts", "ends", "doc", "hash", "first", "n_docs")
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False, hashed: bool = True):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False, hashed: bool = True, marks: bool = False):
         self.data, self.n_docs = data, len(bounds) - 1
-        sep = _IS_SEP[data]
+        sep = (_IS_MARK if marks else _IS_SEP)[data]
         solid = ~sep
         start, last = solid.copy(), solid.copy()
         start[1:] &= sep[:-1]
@@ -179,3 +181,107 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="genoloom-checkpoint-")  # only where the session names none, as in local tests
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see; one of this machine only where the session names none (local tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="genoloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table written once to the shared folder: lineage ends there, and later reads take only the columns they need."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/genoloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class HashTable:
+    """64-bit hash -> float32, for vectorised look-ups; entries that collide go to further layers."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, default: float):
+        self.default, self.layers = np.float32(default), []
+        keys, first = np.unique(np.asarray(keys, np.uint64), return_index=True)
+        values = np.asarray(values, np.float32)[first]
+        bits = max(8, int(np.ceil(np.log2(4 * len(keys) + 1))))
+        while len(keys):
+            shift = np.uint64(max(0, 64 - bits - 3 * len(self.layers)))
+            slot = (keys >> shift) & np.uint64((1 << bits) - 1)
+            _, at = np.unique(slot, return_index=True)
+            own, val = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
+            own[slot[at]], val[slot[at]] = keys[at], values[at]
+            self.layers.append((shift, np.uint64((1 << bits) - 1), own, val))
+            rest = np.ones(len(keys), bool)
+            rest[at] = False
+            keys, values = keys[rest], values[rest]
+            bits = max(8, bits - 1)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), self.default, np.float32)
+        for shift, mask, own, val in self.layers:
+            slot = (h >> shift) & mask
+            found = own[slot] == h
+            out[found] = val[slot[found]]
+        return out
+
+
+def word_counts(docs: DataFrame, lower: bool = False, per_document: bool = False, limit: int = 1_500_000) -> DataFrame:
+    """h, n: for each word's hash its occurrences, or the number of texts that hold it. ``docs`` has __text.
+
+    Each partition merges its own counts (up to ``limit`` words at a time) before they are shuffled.
+    """
+
+    def run(batches):
+        keys, sums, size = [], [], 0
+
+        def merged():
+            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            return k, np.bincount(inverse, np.concatenate(sums)).astype(np.int64)
+
+        for batch in batches:
+            for _, _, data, bounds in chunks(batch.column(0)):
+                w = Words(data, bounds, lower)
+                h = w.hash
+                if per_document and len(h):
+                    _, at = np.unique(mix(h + w.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+                    h = h[at]
+                k, n = np.unique(h, return_counts=True)
+                keys.append(k)
+                sums.append(n)
+                size += len(k)
+                if size > 2 * limit:
+                    k, n = merged()
+                    keys, sums, size = [k], [n], len(k)
+                    if size > limit:
+                        yield pa.RecordBatch.from_arrays([signed(k), pa.array(n)], names=["h", "n"])
+                        keys, sums, size = [], [], 0
+        if keys:
+            k, n = merged()
+            yield pa.RecordBatch.from_arrays([signed(k), pa.array(n)], names=["h", "n"])
+
+    return docs.select("__text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(hashes, counts) of the most frequent words, ``size`` at most, and the count below which words are left out.
+
+    The cut is a whole step of a logarithmic scale of counts, so words of equal count stand on one side.
+    """
+    step = F.floor(F.log2("n") * 16)
+    bins = counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()  # a row for each step: under a thousand
+    cut, total = None, 0
+    for s, k in sorted(((r[0], r[1]) for r in bins), reverse=True):
+        if total + k > size:
+            break
+        total, cut = total + k, s
+    if cut is None:
+        return np.zeros(0, np.uint64), np.zeros(0), max((2 ** ((r[0] + 1) / 16) for r in bins), default=1.0)
+    rows = counts.filter(step >= cut).toArrow()
+    return rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy().astype(float), float(max(1.0, 2 ** (cut / 16)))

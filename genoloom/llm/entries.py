@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import langid, mixing, quality, rules, tokcount
+from genoloom.llm import decontam, icws, langid, mixing, quality, rules, tokcount
 from genoloom.llm.common import table
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -35,12 +39,18 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         return tokcount.token_counts(table(spark, sf_dir, "documents"), f.read())
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return icws.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op4_language": op4_language,
     "op5_mixture": op5_mixture,
     "op6_quality": op6_quality,
     "op7_rules": op7_rules,
     "op9_tokens": op9_tokens,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {"op5_mixture": mixing.OP5_SQL, "op7_rules": rules.OP7_SQL}
