@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import decontam, icws, langid, mixing, quality, rules, tokcount
+from genoloom.llm import decontam, icws, langid, mixing, quality, rules, substring, tokcount
 from genoloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,8 +53,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixture": op5_mixture,
     "op6_quality": op6_quality,
     "op7_rules": op7_rules,
+    "op8_substrings": op8_substrings,
     "op9_tokens": op9_tokens,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLES: dict[str, str] = {"op5_mixture": mixing.OP5_SQL, "op7_rules": rules.OP7_SQL}
+ORACLES: dict[str, str] = {"op5_mixture": mixing.OP5_SQL, "op7_rules": rules.OP7_SQL, "op8_substrings": substring.OP8_SQL}
