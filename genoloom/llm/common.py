@@ -84,6 +84,13 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def tagged(self) -> np.ndarray:
+        """Hashes whose low five bits are a class of the word's last two bytes (lower-cased)."""
+        last = self.data[self.ends - 1] | np.uint8(32)
+        previous = np.where(self.ends - self.starts > 1, self.data[np.maximum(self.ends - 2, 0)] | np.uint8(32), np.uint8(0))
+        ending = mix(last.astype(np.uint64) * np.uint64(256) + previous) & np.uint64(31)
+        return (self.hash & ~np.uint64(31)) | ending
+
     def text(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
@@ -232,7 +239,7 @@ class HashTable:
         return out
 
 
-def word_counts(docs: DataFrame, lower: bool = False, per_document: bool = False, limit: int = 1_500_000) -> DataFrame:
+def word_counts(docs: DataFrame, lower: bool = False, per_document: bool = False, tagged: bool = False, limit: int = 1_500_000) -> DataFrame:
     """h, n: for each word's hash its occurrences, or the number of texts that hold it. ``docs`` has __text.
 
     Each partition merges its own counts (up to ``limit`` words at a time) before they are shuffled.
@@ -248,7 +255,7 @@ def word_counts(docs: DataFrame, lower: bool = False, per_document: bool = False
         for batch in batches:
             for _, _, data, bounds in chunks(batch.column(0)):
                 w = Words(data, bounds, lower)
-                h = w.hash
+                h = w.tagged() if tagged else w.hash
                 if per_document and len(h):
                     _, at = np.unique(mix(h + w.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
                     h = h[at]
