@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import decontam, icws, langid, lm, mixing, quality, rules, substring, tokcount
+from genoloom.llm import decontam, icws, langid, lm, mixing, quality, quotes, rules, substring, tokcount
 from genoloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op2_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +57,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
+    "op2_quotations": op2_quotations,
     "op3_decontamination": op3_decontamination,
     "op4_language": op4_language,
     "op5_mixture": op5_mixture,
@@ -63,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLES: dict[str, str] = {"op5_mixture": mixing.OP5_SQL, "op7_rules": rules.OP7_SQL, "op8_substrings": substring.OP8_SQL}
+ORACLES: dict[str, str] = {"op2_quotations": quotes.OP2_SQL, "op5_mixture": mixing.OP5_SQL, "op7_rules": rules.OP7_SQL, "op8_substrings": substring.OP8_SQL}

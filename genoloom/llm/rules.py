@@ -75,7 +75,13 @@ def features(docs: DataFrame) -> DataFrame:
             lambda a, i: F.struct((a["n"] + F.least(F.lit(5), i - a["at"])).alias("n"), i.alias("at")),
             lambda a: a["n"],
         ),
-    ).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    ).withColumns(
+        {
+            "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
+            # a filter that uses this column is not pushed below: there its conditions would be copies of whole feature expressions
+            "__row": F.monotonically_increasing_id(),
+        }
+    )
 
 
 def boilerplate(docs: DataFrame, min_docs: int, max_fraction: float) -> DataFrame:
@@ -113,7 +119,7 @@ def quality_rules(docs: DataFrame, min_docs: int = 20, max_fraction: float = 0.1
 def clean(docs: DataFrame, min_docs: int = 20, max_fraction: float = 0.1, min_left: float = 0.3, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str = "n_chars") -> DataFrame:
     """The kept documents, all their columns, their boilerplate lines removed and ``length_col`` (where there is one) set anew."""
     own = docs.select(*(docs[c].alias(f"__in_{i}") for i, c in enumerate(docs.columns)), docs[id_col].alias("__id"), docs[text_col].alias("__text"), host_key(docs[host_col]).alias("__host"))
-    rows = judged(own, min_docs, max_fraction, min_left).filter("kept")
+    rows = judged(own, min_docs, max_fraction, min_left).filter(F.col("kept") & (F.col("__row") >= 0))
     left = F.when(F.col("n_common_chars") == 0, F.col("__text")).otherwise(F.array_join(F.filter(F.split("__text", "\n"), lambda x: ~F.array_contains(F.col("__common"), line_hash(x))), "\n"))
     rows = rows.withColumn("__left", left)
     new = {text_col: F.col("__left"), length_col: F.length("__left").cast("bigint")}
