@@ -21,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ class Index:
         self.threshold = threshold
         arr = pa.array([x or "" for x in texts], pa.string())
         self.words: list[np.ndarray] = []
-        for _, _, data, bounds in chunks(arr):
+        for _, _, data, bounds in chunks(pc.utf8_lower(arr)):
             w = Words(data, bounds, lower=True, marks=True)
             self.words += [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         self.size = np.array([len(h) for h in self.words], np.int64)
@@ -205,7 +206,7 @@ def _finder(items, threshold: float, item_type):
         if not index:
             index.append(Index(items.value[1], threshold))
         rows, found = [], []
-        for i, _, data, bounds in chunks(batch.column("__text")):
+        for i, _, data, bounds in chunks(pc.utf8_lower(batch.column("__text"))):
             for d, *match in index[0].matches(Words(data, bounds, lower=True, marks=True)):
                 rows.append(i + d)
                 found.append(match)
@@ -240,7 +241,7 @@ def _keeper(items, threshold: float, text_at: int):
         for batch in batches:
             index = index or Index(items.value[1], threshold)
             clean = np.ones(batch.num_rows, bool)
-            for i, _, data, bounds in chunks(batch.column(text_at)):
+            for i, _, data, bounds in chunks(pc.utf8_lower(batch.column(text_at))):
                 for d, *_ in index.matches(Words(data, bounds, lower=True, marks=True)):
                     clean[i + d] = False
             yield batch.filter(pa.array(clean))
