@@ -45,6 +45,7 @@ class PieceCounts:
         if not splits_at_spaces(self.processor):
             raise ValueError("the model has pieces across spaces; its pre-tokens can't be counted apart")
         self.size, self.known = size, {}
+        self.space = len(self.processor.encode("a ")) - len(self.processor.encode("a"))
 
     def count(self, text: str) -> int:
         frequency = Counter(pre_tokens(text))
@@ -55,6 +56,8 @@ class PieceCounts:
                 known.clear()
                 new = list(frequency)
             known.update(zip(new, map(len, self.processor.encode(new, num_threads=1)), strict=True))
+            if "" in known:  # a space at the end of a text: the library gives an empty text no prefix
+                known[""] = self.space
         return sum(map(int.__mul__, frequency.values(), map(known.__getitem__, frequency)))
 
 
