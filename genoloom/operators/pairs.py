@@ -8,6 +8,8 @@ over all tiles.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,26 +25,30 @@ def covered_arrays(obs: DataFrame, min_coverage: int = 5, key: str = "site") ->
     return allele_arrays(obs, key).filter(F.aggregate("ad", F.lit(0).cast("bigint"), lambda a, x: a + x) > min_coverage)
 
 
-def cell_pairs(arrays: DataFrame, key: str = "site", block_cells: int = 128, cells: int | None = None) -> DataFrame:
-    """tile, key, s1, s2, ad1, ad2 for all pairs s1 < s2 of cells that share a site."""
+def cell_pairs(arrays: DataFrame, key: str = "site", blocks: int | None = None, cells: int | None = None) -> DataFrame:
+    """tile, key, s1, s2, ad1, ad2 for all pairs s1 < s2 of cells that share a site.
+
+    ``cells``: how many there are, numbered from 0; found by a pass over ``arrays`` if not given.
+    ``blocks``: by default as many as give four tiles for each shuffle partition; a row is copied once a block at most.
+    """
     spark = arrays.sparkSession
     spark.conf.set(CO_PARTITION, "false")
-    last = F.lit(cells - 1) if cells else arrays.select(F.max("cell")).scalar()
-    block = F.floor(F.col("cell") / block_cells).cast("int")
-    n_blocks = F.floor(last / block_cells).cast("int")
-    tile = lambda a, b: F.concat_ws(":", a, b)
-    left = arrays.select(key, F.col("cell").alias("s1"), F.col("ad").alias("ad1"), block.alias("__a"), F.explode(F.sequence(block, n_blocks)).alias("__b"))
-    right = arrays.select(key, F.col("cell").alias("s2"), F.col("ad").alias("ad2"), F.explode(F.sequence(F.lit(0), block)).alias("__a"), block.alias("__b"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    left = left.withColumn("tile", tile(F.col("__a"), F.col("__b"))).drop("__a", "__b").repartition(n, "tile")
-    right = right.withColumn("tile", tile(F.col("__a"), F.col("__b"))).drop("__a", "__b").repartition(n, "tile")
+    blocks = blocks or math.ceil(math.sqrt(8 * n))
+    number = F.lit(cells) if cells else arrays.select(F.max("cell") + 1).scalar()
+    block = F.floor(F.col("cell").cast("bigint") * blocks / number).cast("int")
+    tile = lambda a, b: F.col(a) * blocks + F.col(b)
+    left = arrays.select(key, F.col("cell").alias("s1"), F.col("ad").alias("ad1"), block.alias("__a"), F.explode(F.sequence(block, F.lit(blocks - 1))).alias("__b"))
+    right = arrays.select(key, F.col("cell").alias("s2"), F.col("ad").alias("ad2"), F.explode(F.sequence(F.lit(0), block)).alias("__a"), block.alias("__b"))
+    left = left.withColumn("tile", tile("__a", "__b")).drop("__a", "__b").repartition(n, "tile")
+    right = right.withColumn("tile", tile("__a", "__b")).drop("__a", "__b").repartition(n, "tile")
     return left.hint("shuffle_hash").join(right, ["tile", key]).filter("s1 < s2")
 
 
-def distances(obs: DataFrame, methods: list[str] | str = "pow4", min_coverage: int = 5, key: str = "site", alleles: int | None = None, block_cells: int = 128, cells: int | None = None) -> DataFrame:
+def distances(obs: DataFrame, methods: list[str] | str = "pow4", min_coverage: int = 5, key: str = "site", alleles: int | None = None, blocks: int | None = None, cells: int | None = None) -> DataFrame:
     """s1, s2, positions (shared sites), and a column of distances for each method, all in one pass over the pairs."""
     names = sorted({methods} if isinstance(methods, str) else set(methods))
-    pairs = cell_pairs(covered_arrays(obs, min_coverage, key), key, block_cells, cells)
+    pairs = cell_pairs(covered_arrays(obs, min_coverage, key), key, blocks, cells)
     sums = [F.sum(method(n)(F.col("ad1"), F.col("ad2"), alleles)).alias(n) for n in names]
     return pairs.groupBy("tile", "s1", "s2").agg(F.count(F.lit(1)).alias("positions"), *sums).drop("tile")
 

@@ -57,7 +57,7 @@ def query(sql: str | None = None, prelude: bool = True):
 
 
 def _distance(spark: SparkSession, sf_dir: str, name: str = "pow4") -> DataFrame:
-    return pairs.distances(A.observations(spark, sf_dir), name, alleles=A.ALLELES)
+    return pairs.distances(A.observations(spark, sf_dir), name, alleles=A.ALLELES, cells=A.cells(spark, sf_dir).count())
 
 
 def _dist(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def test_pair_distances(spark):
     o = obs(spark, [(0, [10, 0]), (1, [10, 0]), (2, [0, 10]), (3, [5, 0])])
     got = rows(pairs.distances(o, "pow4", alleles=2).select("s1", "s2", "positions", "pow4"))
     assert got == [(0, 1, 1, 0.0), (0, 2, 1, 0.5000000000000001), (1, 2, 1, 0.5000000000000001)]  # a depth of 5 is not over 5
-    assert rows(pairs.distances(o, "pow4", block_cells=1).select("s1", "s2", "positions", "pow4")) == got
+    assert rows(pairs.distances(o, "pow4", blocks=3).select("s1", "s2", "positions", "pow4")) == got
 
 
 def test_matrix(spark, dist, cells):
