@@ -11,8 +11,9 @@ reported.
 
 Rows of equal text are one text (a 64-bit hash): with two rows or more all its windows are
 repeated, and it is searched once for the sake of others. An anchor with more than ``hot``
-occurrences is not gathered in a shard: its windows are counted by anchor and hash, with partial
-sums, which decides the same question exactly for any number of occurrences.
+occurrences is not gathered in a shard: its pieces are counted by anchor and hash, with partial sums,
+and equal pieces are repeated as a whole; the windows of distinct pieces are counted in the same way.
+That decides the same question exactly for any number of occurrences.
 """
 
 from __future__ import annotations
@@ -66,13 +67,13 @@ def _pieces(texts: DataFrame, window: int) -> DataFrame:
     """The pieces of text at repeated anchors. ``texts``: t, text, cold and hot (the anchors' hashes).
 
     A cold anchor gives anchor, t, start, n (windows) and the piece's words as 32 bits of each hash
-    (its 8-gram is known to be equal by 64 bits); a hot one gives a row a window, with its hash.
+    (its 8-gram is known to be equal by 64 bits); a hot one the hashes of its windows, and of all of them.
     """
 
     def cut(batch: pa.RecordBatch):
         t = batch.column("t").to_numpy()
         cold, hot = batch.column("cold").to_pylist(), batch.column("hot").to_pylist()
-        out: dict[str, list] = {k: [] for k in ("anchor", "t", "start", "n", "window", "words")}
+        out: dict[str, list] = {k: [] for k in ("anchor", "t", "start", "n", "piece", "windows", "words")}
         for i, j, data, bounds in chunks(batch.column("text")):
             w = Words(data, bounds)
             g, starts, at = anchors(w, window)
@@ -85,30 +86,24 @@ def _pieces(texts: DataFrame, window: int) -> DataFrame:
                 if not len(s):
                     continue
                 own = g[a].view(np.int64)
-                if cold[i + d]:
-                    wanted = np.isin(own, np.array(cold[i + d], np.int64))
-                    # windows of one anchor follow each other
-                    edge = np.flatnonzero(np.diff(a, prepend=-1) != 0)
-                    for b, e in zip(edge, np.append(edge[1:], len(a)), strict=True):
-                        if wanted[b]:
-                            out["anchor"].append(int(own[b]))
-                            out["t"].append(int(t[i + d]))
-                            out["start"].append(int(s[b] - first[d]))
-                            out["n"].append(int(e - b))
-                            out["window"].append(None)
-                            out["words"].append(low[s[b] : s[b] + (e - b) + window - 1].tobytes())
-                if hot[i + d]:
-                    for b in np.flatnonzero(np.isin(own, np.array(hot[i + d], np.int64))):
-                        out["anchor"].append(int(own[b]))
-                        out["t"].append(int(t[i + d]))
-                        out["start"].append(int(s[b] - first[d]))
-                        out["n"].append(1)
-                        out["window"].append(int(full[s[b]].view(np.int64)))
-                        out["words"].append(None)
-        kinds = {"anchor": pa.int64(), "t": pa.int64(), "start": pa.int32(), "n": pa.int32(), "window": pa.int64(), "words": pa.binary()}
+                is_cold, is_hot = (np.isin(own, np.array(x[i + d], np.int64)) for x in (cold, hot))
+                # windows of one anchor follow each other
+                edge = np.flatnonzero(np.diff(a, prepend=-1) != 0)
+                for b, e in zip(edge, np.append(edge[1:], len(a)), strict=True):
+                    if not (is_cold[b] or is_hot[b]):
+                        continue
+                    out["anchor"].append(int(own[b]))
+                    out["t"].append(int(t[i + d]))
+                    out["start"].append(int(s[b] - first[d]))
+                    out["n"].append(int(e - b))
+                    out["words"].append(low[s[b] : s[b] + (e - b) + window - 1].tobytes() if is_cold[b] else None)
+                    windows = full[s[b] : s[b] + (e - b)].view(np.int64) if is_hot[b] else None
+                    out["windows"].append(windows)
+                    out["piece"].append(int(grams(windows.view(np.uint64), len(windows))[0].view(np.int64)) if is_hot[b] else None)
+        kinds = {"anchor": pa.int64(), "t": pa.int64(), "start": pa.int32(), "n": pa.int32(), "piece": pa.int64(), "windows": pa.list_(pa.int64()), "words": pa.binary()}
         yield {k: pa.array(v, kinds[k]) for k, v in out.items()}
 
-    return map_arrow(texts, cut, "anchor bigint, t bigint, start int, n int, window bigint, words binary")
+    return map_arrow(texts, cut, "anchor bigint, t bigint, start int, n int, piece bigint, windows array<bigint>, words binary")
 
 
 def search(pieces: list[tuple[bytes, int]], window: int) -> list[np.ndarray]:
@@ -169,7 +164,7 @@ def _searched(pieces: DataFrame, window: int, shard_words: int) -> DataFrame:
             yield report()
 
     n = parallelism(pieces.sparkSession)
-    dealt = pieces.filter("window is null").select("anchor", "t", "start", "words").repartition(n, "anchor").sortWithinPartitions("anchor")
+    dealt = pieces.filter("piece is null").select("anchor", "t", "start", "words").repartition(n, "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, "t bigint, start int, n int")
 
 
@@ -189,9 +184,13 @@ def _tables(docs: DataFrame, window: int, hot: int, shard_words: int, id_col: st
     texts = stored(own.join(wanted, same).select("t", "m", F.col("__text").alias("text"), "cold", "hot"))
     pieces = stored(_pieces(texts.select("t", "text", "cold", "hot"), window))
     cold = _searched(pieces, window, shard_words)
-    frequent = pieces.filter("window is not null").select("anchor", "window", "t", "start")
-    many = frequent.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    often = salted_join(frequent, many, ["anchor", "window"], F.xxhash64("t", "start")).select("t", "start", F.lit(1).alias("n"))
+    frequent = pieces.filter("piece is not null")
+    kinds = stored(frequent.groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("t", "start")).alias("at"), F.first("windows").alias("windows")))
+    whole = salted_join(frequent.select("anchor", "piece", "t", "start", "n"), kinds.filter("k > 1").select("anchor", "piece"), ["anchor", "piece"], F.xxhash64("t", "start"))
+    each = kinds.select("anchor", "k", "at", F.posexplode("windows").alias("i", "window"))
+    many = each.groupBy("anchor", "window").agg(F.sum("k").alias("c")).filter("c > 1").select("anchor", "window")
+    alone = salted_join(each.filter("k = 1"), many, ["anchor", "window"], F.xxhash64("at", "i"))
+    often = whole.select("t", "start", "n").union(alone.select("at.t", F.col("at.start") + F.col("i"), F.lit(1)))
     ranges = cold.union(often).groupBy("t").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("ranges"))
     found = texts.filter("m = 1").select("t", "text").join(ranges, "t")
     return own, copies, found
