@@ -9,9 +9,13 @@ candidates, and candidates are verified by the exact weighted Jaccard similarity
 
 Rows equal in text are one node (a 64-bit hash). In a bucket (texts with an equal band) nodes are
 compared with a hub, not with each other: links only matter between components that are not joined
-yet. Buckets that still hold more than one component go on with other hubs, or with all their
-pairs if they are small, until each of their pairs is verified or joined. So a group of thousands
-of near copies costs about one comparison a text, and no link between components is lost.
+yet. The hub is the node that shares the most buckets with others, which in a group of near copies
+is the one with the fewest changes. Buckets that still hold more than one component go on: small ones
+with all pairs between their components, large ones with their next hubs, and then with the texts
+dealt anew by pairs of their bands, which keeps apart what only shares one. So a group of thousands
+of near copies costs a few comparisons a text. What can be missed is a link between two texts that
+share one band only (under 1 % of pairs at similarity 0.8), in a bucket of more than ``small`` texts,
+neither of them a hub, and joined by no chain of other links.
 """
 
 from __future__ import annotations
@@ -104,7 +108,7 @@ def idf_table(docs: DataFrame, idf_words: int) -> HashTable:
     return HashTable(words, np.log1p(n / np.maximum(df, 1)), float(np.log1p(n / cut)))
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 3, idf_words: int = 65_536, small: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 3, idf_words: int = 65_536, small: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """__id, __t (hash of the text), __class (a text's hash) for each row of ``docs``; see ``near_duplicates``."""
     spark = docs.sparkSession
     own = documents(docs, id_col, text_col).withColumn("__text", F.coalesce("__text", F.lit("")))
@@ -123,8 +127,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int
     signed_rows = map_arrow(keyed.select("__id", "__t", "__text"), sign, f"t bigint, id {kind}, bands array<bigint>")
     nodes = stored(signed_rows.groupBy("t").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     bucket = nodes.select("t", F.posexplode("bands").alias("band", "value")).select("t", F.xxhash64("band", "value").alias("b"))
-    shared = bucket.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("hub")).filter("n > 1")
+    shared = bucket.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(salted_join(bucket, shared, ["b"], F.col("t")))
+    members = stored(members.join(members.groupBy("t").agg(F.sum("n").alias("score")), "t").select("b", "t", "score"))
     # texts that stand in a shared bucket, once each, taken from the row of the least id
     wanted = members.select("t").distinct().join(nodes, "t").select("t", "id")
     same = (keyed["__t"] == wanted["t"]) & keyed["__id"].eqNullSafe(wanted["id"])  # both: copies of a text lie apart
@@ -183,33 +188,51 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("u", "c")
 
 
-def _joined(keyed: DataFrame, members: DataFrame, texts: DataFrame, idf, threshold: float, small: int) -> DataFrame:
-    pairs = members.filter("t <> hub").select(F.col("hub").alias("a"), F.col("t").alias("b")).distinct()
-    links = stored(_verified(pairs, texts, idf, threshold))
-    labels = components(links)
-    rest, round_ = members.filter("t <> hub").select("b", "t"), 1
-    while True:
-        # buckets that hold more than one component
-        named = rest.join(labels.select(F.col("u").alias("t"), "c"), "t", "left").select("b", "t", F.coalesce("c", "t").alias("c"))
-        named = stored(named)
-        open_ = named.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("t").alias("first")).filter("lo < hi").select("b", "n", "first")
-        rest = stored(salted_join(named, open_, ["b"], F.col("t")))
-        if rest.isEmpty():
-            break
-        hubs_each = 4 << round_
-        few = rest.filter(F.col("n") <= small)
-        large = rest.filter(F.col("n") > small)
-        is_hub = (F.col("t") == F.col("first")) | (F.pmod(F.xxhash64("t", F.lit(round_)), F.col("n")) < hubs_each)
-        hubs = large.filter(is_hub)
-        side = lambda df: df.select("b", F.col("t").alias("t1"), F.col("c").alias("c1"))
-        new = few.join(side(few), "b").filter("t1 < t and c1 <> c").select("t1", "t").union(
-            salted_join(large.filter(~is_hub), side(hubs), ["b"], F.col("t")).filter("c1 <> c").select("t1", "t")
-        ).union(hubs.join(side(hubs), "b").filter("t1 < t and c1 <> c").select("t1", "t"))
-        more = _verified(new.select(F.col("t1").alias("a"), F.col("t").alias("b")).distinct(), texts, idf, threshold)
-        links = stored(links.union(more))
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("c", F.col("t"))
+    return rows.join(labels.select(F.col("u").alias("t"), "c"), "t", "left").withColumn("c", F.coalesce("c", "t"))
+
+
+def _rounds(rest: DataFrame, links: DataFrame | None, labels: DataFrame | None, rounds: int, few_from: int, texts: DataFrame, idf, threshold: float, small: int):
+    """(links, labels, what is left): in each round the open buckets' members meet their hub, and members of small buckets each other.
+
+    A bucket is open while it holds more than one component; its hub is the member that shares the most
+    buckets with others, and leaves it afterwards.
+    """
+    for k in range(1, rounds + 1):
+        named = _labelled(rest.select("b", "t", "score"), labels)
+        best = F.max(F.struct("score", "t", "c"))
+        open_ = named.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), best.alias("h")).filter("lo < hi").select("b", "n", F.col("h.t").alias("hub"), F.col("h.c").alias("hub_c"))
+        live = stored(salted_join(named, open_, ["b"], F.col("t")))
+        if live.isEmpty():
+            return links, labels, None
+        is_few = (F.col("n") <= small) if k >= few_from else F.lit(False)
+        few, large = live.filter(is_few), live.filter(~is_few)
+        pairs = large.filter("c <> hub_c").select(F.col("hub").alias("a"), F.col("t").alias("b"))
+        if k >= few_from:
+            other = few.select("b", F.col("t").alias("t1"), F.col("c").alias("c1"))
+            both = few.join(other, (few["b"] == other["b"]) & (F.col("t1") < F.col("t")) & (F.col("c1") != F.col("c")))
+            pairs = pairs.union(both.select(F.col("t1").alias("a"), F.col("t").alias("b")))
+        found = _verified(pairs.distinct(), texts, idf, threshold)
+        links = stored(found if links is None else links.union(found))
         labels = components(links)
-        rest, round_ = large.filter(~is_hub).select("b", "t"), round_ + 1
+        rest = large.filter("t <> hub")
+    return links, labels, rest
+
+
+def _joined(keyed: DataFrame, members: DataFrame, texts: DataFrame, idf, threshold: float, small: int) -> DataFrame:
+    links, labels, rest = _rounds(members, None, None, 3, 2, texts, idf, threshold, small)
+    if rest is not None:
+        # large buckets that are still open: their texts meet again where two of their buckets are the same
+        named = _labelled(rest.select("b", "t", "score"), labels)
+        open_ = named.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("b")
+        lists = salted_join(named, open_, ["b"], F.col("t")).groupBy("t", "score").agg(F.sort_array(F.collect_list("b")).alias("bs"))
+        combined = F.flatten(F.transform("bs", lambda x, i: F.transform(F.slice("bs", i + 2, F.size("bs")), lambda y: F.xxhash64(x, y))))
+        links, labels, _ = _rounds(lists.select("t", "score", F.explode(combined).alias("b")), links, labels, 2, 1, texts, idf, threshold, small)
     rows = keyed.select("__id", "__t")
+    if labels is None:
+        return rows.withColumn("__class", F.col("__t"))
     found = labels.select(F.col("u").alias("__t"), F.col("c").alias("__class"))
     return salted_join(rows, found, ["__t"], F.coalesce(F.hash("__id"), F.lit(0)), "left").withColumn("__class", F.coalesce("__class", "__t"))
 
