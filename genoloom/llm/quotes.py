@@ -121,14 +121,16 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
 
 
 def _rooted(tree: DataFrame) -> DataFrame:
-    """top: the first message of the thread, depth: steps to it. Each round doubles the steps taken."""
+    """top: the first message of the thread, depth: steps to it. Each round doubles the steps taken, for the messages that still move."""
+    names = ["__conv", "turn", "n", "o", "up", "top", "depth"]
+    settled, active = tree.filter("depth = 0").select(names), tree.filter("depth > 0").select(names)
     while True:
-        above = tree.select("__conv", F.col("turn").alias("top"), F.col("top").alias("higher"), F.col("depth").alias("more"))
-        step = salted_join(tree, above, ["__conv", "top"], F.col("turn"))
+        above = settled.unionByName(active).select("__conv", F.col("turn").alias("top"), F.col("top").alias("higher"), F.col("depth").alias("more"))
+        step = salted_join(active, above, ["__conv", "top"], F.col("turn"))
         step = stored(step.select("__conv", "turn", "n", "o", "up", F.col("higher").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
-        if step.filter("moved").isEmpty():
-            return step.drop("moved")
-        tree = step.drop("moved")
+        settled, active = settled.unionByName(step.filter("not moved").select(names)), step.filter("moved").select(names)
+        if active.isEmpty():
+            return settled
 
 
 #: Under DuckDB.
