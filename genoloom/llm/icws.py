@@ -11,11 +11,11 @@ Rows equal in text are one node (a 64-bit hash). In a bucket (texts with an equa
 compared with a hub, not with each other: links only matter between components that are not joined
 yet. The hub is the node that shares the most buckets with others, which in a group of near copies
 is the one with the fewest changes. Buckets that still hold more than one component go on: small ones
-with all pairs between their components, large ones with their next hubs, and then with the texts
-dealt anew by pairs of their bands, which keeps apart what only shares one. So a group of thousands
-of near copies costs a few comparisons a text. What can be missed is a link between two texts that
-share one band only (under 1 % of pairs at similarity 0.8), in a bucket of more than ``small`` texts,
-neither of them a hub, and joined by no chain of other links.
+with all pairs between their components, large ones with their next hubs; then their texts are dealt
+anew by pairs of their bands, which joins most of what is similar; and what is still open after that
+goes on with twice as many hubs each round, until each pair of a bucket is verified or joined. So a
+group of thousands of near copies costs a few comparisons a text, no link between components is lost,
+and a large bucket of texts that are not similar costs all its pairs.
 """
 
 from __future__ import annotations
@@ -194,13 +194,16 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels.select(F.col("u").alias("t"), "c"), "t", "left").withColumn("c", F.coalesce("c", "t"))
 
 
-def _rounds(rest: DataFrame, links: DataFrame | None, labels: DataFrame | None, rounds: int, few_from: int, texts: DataFrame, idf, threshold: float, small: int):
-    """(links, labels, what is left): in each round the open buckets' members meet their hub, and members of small buckets each other.
+def _rounds(rest: DataFrame, links: DataFrame | None, labels: DataFrame | None, rounds: int | None, few_from: int, texts: DataFrame, idf, threshold: float, small: int):
+    """(links, labels, what is left): in each round the open buckets' members meet their hubs, and members of small buckets each other.
 
     A bucket is open while it holds more than one component; its hub is the member that shares the most
-    buckets with others, and leaves it afterwards.
+    buckets with others, and leaves it afterwards. Without a number of ``rounds`` they go on until no
+    bucket is open, with about 2, 4, 8, ... more hubs a bucket.
     """
-    for k in range(1, rounds + 1):
+    k = 0
+    while rounds is None or k < rounds:
+        k += 1
         named = _labelled(rest.select("b", "t", "score"), labels)
         best = F.max(F.struct("score", "t", "c"))
         open_ = named.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), best.alias("h")).filter("lo < hi").select("b", "n", F.col("h.t").alias("hub"), F.col("h.c").alias("hub_c"))
@@ -209,7 +212,14 @@ def _rounds(rest: DataFrame, links: DataFrame | None, labels: DataFrame | None,
             return links, labels, None
         is_few = (F.col("n") <= small) if k >= few_from else F.lit(False)
         few, large = live.filter(is_few), live.filter(~is_few)
-        pairs = large.filter("c <> hub_c").select(F.col("hub").alias("a"), F.col("t").alias("b"))
+        is_hub = F.col("t") == F.col("hub")
+        if rounds is None:
+            is_hub = is_hub | (F.pmod(F.xxhash64("t", F.lit(k)), F.col("n")) < F.lit(1 << k))
+            hubs = large.filter(is_hub).select("b", F.col("t").alias("t1"), F.col("c").alias("c1"))
+            others = salted_join(large.filter(~is_hub), hubs, ["b"], F.col("t")).union(large.filter(is_hub).join(hubs, "b").filter("t1 < t"))
+            pairs = others.filter("c1 <> c").select(F.col("t1").alias("a"), F.col("t").alias("b"))
+        else:
+            pairs = large.filter("c <> hub_c").select(F.col("hub").alias("a"), F.col("t").alias("b"))
         if k >= few_from:
             other = few.select("b", F.col("t").alias("t1"), F.col("c").alias("c1"))
             both = few.join(other, (few["b"] == other["b"]) & (F.col("t1") < F.col("t")) & (F.col("c1") != F.col("c")))
@@ -217,7 +227,7 @@ def _rounds(rest: DataFrame, links: DataFrame | None, labels: DataFrame | None,
         found = _verified(pairs.distinct(), texts, idf, threshold)
         links = stored(found if links is None else links.union(found))
         labels = components(links)
-        rest = large.filter("t <> hub")
+        rest = large.filter(~is_hub)
     return links, labels, rest
 
 
@@ -230,6 +240,8 @@ def _joined(keyed: DataFrame, members: DataFrame, texts: DataFrame, idf, thresho
         lists = salted_join(named, open_, ["b"], F.col("t")).groupBy("t", "score").agg(F.sort_array(F.collect_list("b")).alias("bs"))
         combined = F.flatten(F.transform("bs", lambda x, i: F.transform(F.slice("bs", i + 2, F.size("bs")), lambda y: F.xxhash64(x, y))))
         links, labels, _ = _rounds(lists.select("t", "score", F.explode(combined).alias("b")), links, labels, 2, 1, texts, idf, threshold, small)
+        # pairs of bands only join early; every pair of the buckets themselves that is not joined by now is verified
+        links, labels, _ = _rounds(rest, links, labels, None, 1, texts, idf, threshold, small)
     rows = keyed.select("__id", "__t")
     if labels is None:
         return rows.withColumn("__class", F.col("__t"))

@@ -137,6 +137,18 @@ def test_unique(docs, none):
     assert icws.unique(none).isEmpty() and icws.near_duplicates(none).isEmpty()
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """A bucket of 60 texts round one passage, 12 twins among them that share no other bucket, and hubs that are similar to none."""
+    shared = prose(20)
+    own = [prose(60) for _ in range(48)]
+    texts = [f"{shared} {x}" for x in own] + [f"{shared} {own[i]} twin" for i in range(36, 48)]
+    one = lambda s, n_docs, bands, rows: (np.arange(n_docs), np.column_stack([np.zeros(n_docs), *(RNG.integers(1, 1 << 62, n_docs) for _ in range(bands - 1))]).astype(np.uint64))
+    monkeypatch.setattr(icws, "signatures", one)
+    df = spark.createDataFrame([(i, t, None, None, 0, "x", "") for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    got = {r["doc_id"]: r["class_id"] for r in icws.near_duplicates(df).collect()}
+    assert got == {i: i if i < 48 else i - 12 for i in range(60)}
+
+
 def test_consistent_samples_estimate_similarity():
     idf = common.HashTable(np.zeros(0, np.uint64), np.zeros(0), 1.0)
     a, b = prose(400), None
