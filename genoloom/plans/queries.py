@@ -350,7 +350,15 @@ def bisecting_kmeans(spark, sf_dir):
 def recluster(spark, sf_dir):
     dist = cluster.checkpointed(_dist(spark, sf_dir))
     assign, trash = cluster.one_group(A.cells(spark, sf_dir), dist)
-    assign, trash = cluster.recluster(dist, assign, trash, expected=3, max_iterations=3)
+    assign, trash = cluster.recluster(dist, assign, trash, expected=3)
+    return assign.unionByName(trash.withColumn("grp", F.lit(-1).cast(dict(assign.dtypes)["grp"])))
+
+
+@query()
+def recluster_kmeans(spark, sf_dir):
+    dist = cluster.checkpointed(_dist(spark, sf_dir))
+    assign, trash = cluster.bisecting_kmeans(dist, A.cells(spark, sf_dir), 3)
+    assign, trash = cluster.recluster(dist, assign, trash, expected=3)
     return assign.unionByName(trash.withColumn("grp", F.lit(-1).cast(dict(assign.dtypes)["grp"])))
 
 

@@ -156,3 +156,78 @@ def test_fastq(spark):
     reads = spark.createDataFrame(data, "barcode string, name string, flag int, seq string, qual string")
     got = merge.fastq_pairs(merge.fastq_reads(reads, spark.createDataFrame([("a",)], "barcode string")))
     assert rows(got) == [("a", "r1", "AC", "II", "GT", "II")]
+
+
+def brute_recluster(d: dict, assign: dict, trash: set, expected: int, iterations: int):
+    """(assign, trash) by loops over cells; ``d``: both directions of each pair."""
+    i = 1
+    while True:
+        members = {g: sorted(c for c in assign if assign[c] == g) for g in sorted(set(assign.values()))}
+        far = {g: sum(d.get((a, b), 0.0) for a in m for b in m) / len(m) for g, m in members.items()}
+        if (i >= iterations and len(far) == expected) or i >= iterations + 10:
+            return assign, trash
+        if not far:
+            assign, trash = dict.fromkeys(trash, 0), set()
+            continue
+        mean = sum(far.values()) / len(far)
+
+        def costs(place):
+            sides = {g: [c for c in place if place[c] == g] for g in sorted(set(place.values()))}
+            out = {}
+            for c, g in place.items():
+                own = sum(d.get((c, x), 0.0) for x in sides[g]) / (len(sides[g]) - 1) if len(sides[g]) > 1 else None
+                out[c] = own, min(((sum(d.get((c, x), 0.0) for x in m) / (len(m) + 1), t) for t, m in sides.items() if t != g), default=None)
+            return out
+
+        if len(far) > expected:
+            moves = costs(assign)
+            drop = min(far, key=lambda g: (sum(moves[c][1][0] for c in members[g]), g))
+            assign = {c: moves[c][1][1] if g == drop else g for c, g in assign.items()}
+        elif len(far) < expected or any(v >= 2 * mean for v in far.values()):
+            group = max(far, key=lambda g: (far[g], -g))
+            pairs = {c: max(((d[c, x], -x) for x in members[group] if (c, x) in d), default=None) for c in members[group]}
+            pairs = [(v[0], c, -v[1]) for c, v in pairs.items() if v]
+            if not pairs:
+                trash, assign = trash | set(members[group]), {c: g for c, g in assign.items() if g != group}
+            else:
+                _, a, b = max(pairs)
+                sides, left = ([a], [b]), [c for c in members[group] if c not in (a, b)]
+                while left:
+                    to = lambda c: [sum(d.get((c, x), 0.0) for x in s) / len(s) for s in sides]  # noqa: B023, E731
+                    c = max(left, key=lambda c: (abs(to(c)[0] - to(c)[1]), -c))
+                    sides[to(c)[1] < to(c)[0]].append(c)
+                    left.remove(c)
+                assign = assign | dict.fromkeys(sides[1], max(far) + 1)
+        else:
+            placed = dict(assign)
+            for c in trash:
+                placed[c] = min((sum(d.get((c, x), 0.0) for x in m) / (len(m) + 1) - far[g], g) for g, m in members.items())[1]
+            gone = {c for c, (own, other) in costs(placed).items() if own is not None and other and own > other[0]}
+            new = {c: g for c, g in placed.items() if c not in gone}
+            stable = new == assign and gone == trash
+            assign, trash = new, gone
+            if stable:
+                return assign, trash
+        i += 1
+
+
+@pytest.mark.parametrize("name", ["recluster", "recluster_kmeans"])
+def test_registered_recluster_runs_to_the_end(spark, monkeypatch, name):
+    """Three donors, and a cell that starts in the trash as it has a distance to one cell only."""
+    from genoloom.plans import queries
+
+    rng = np.random.default_rng(11)
+    at = np.concatenate([rng.normal(m, 0.6, (4, 2)) for m in ((0, 0), (3, 0), (1.5, 2.5))])
+    every = [(i, j, float(np.hypot(*(at[i] - at[j])))) for i in range(12) for j in range(i + 1, 12) if j != 11 or i < 1]  # cell 11: a distance to cell 0 only
+    dist, cells = spark.createDataFrame(every, "s1 int, s2 int, d double"), spark.createDataFrame([(i,) for i in range(12)], "cell int")
+    monkeypatch.setattr(queries, "_dist", lambda *_: dist)
+    monkeypatch.setattr(queries.A, "cells", lambda *_: cells)
+    got = queries.QUERIES[name](spark, "")
+    start, trash = cluster.one_group(cells, dist) if name == "recluster" else cluster.bisecting_kmeans(dist, cells, 3)
+    d = {(a, b): x for i, j, x in every for a, b in ((i, j), (j, i))}
+    want, left = brute_recluster(d, {r[0]: r[1] for r in start.collect()}, {r[0] for r in trash.collect()}, 3, 20)
+    assert left or 11 in want
+    assert {r["cell"]: r["grp"] for r in got.collect()} == want | dict.fromkeys(left, -1)
+    if name == "recluster":
+        short, gone = brute_recluster(d, {r[0]: r[1] for r in start.collect()}, {r[0] for r in trash.collect()}, 3, 3)
+        assert (short, gone) != (want, left)  # three iterations give something else
