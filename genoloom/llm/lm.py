@@ -4,8 +4,9 @@ Words are counted over all training documents. The most frequent ``vocabulary``
 their own; any other word is one of 32 *endings* (a class of its last two bytes), and its own
 probability given the ending is (c + 0.1) / (N + 0.1 (V + 1)) with the counts c, N and V of the
 training words of that ending. The model (``gru``) is started on the driver on ``seed_docs``
-documents, then trained on a fixed share of all training documents by ``trainers`` tasks at most,
-whose parameters are averaged by the tokens they have seen.
+documents, then trained on ``share`` of the training documents (all by default), each partition of
+the input by a task of its own; ``trainers`` tasks average the partitions' parameters by the tokens
+they have seen.
 
 Scoring streams every whole text through the model, the state carried from window to window.
 Counts of the ``known`` most frequent words go with the tasks; the counts of all other words are
@@ -51,7 +52,7 @@ def texts_of(col: pa.Array, tokens: Tokens) -> list[np.ndarray]:
 
 
 def trained(docs: DataFrame, model: Gru, tokens: Tokens, share: float, trainers: int, batch_tokens: int = 400_000) -> Gru:
-    """``model`` after one pass over ``share`` of the documents, by tasks that start from it; their mean by tokens seen."""
+    """``model`` after one pass over ``share`` of the documents, by a task a partition that starts from it; their mean by tokens seen."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((pickle.dumps(model), tokens))
 
@@ -71,10 +72,20 @@ def trained(docs: DataFrame, model: Gru, tokens: Tokens, share: float, trainers:
             flat = np.concatenate([a.ravel() for a in own.p.values()])
             yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([seen])], names=["p", "n"])
 
-    part = docs.filter(F.pmod(F.xxhash64("__id", "__text", F.lit(29)), F.lit(1000)) < int(1000 * share)).select("__text")
-    rows = part.repartition(trainers).mapInArrow(run, "p binary, n bigint").collect()  # trainers times the fixed size of the model
+    def merged(batches):
+        total, seen = None, 0
+        for batch in batches:
+            for p, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(p, np.float32).astype(np.float64) * n
+                total, seen = own if total is None else total + own, seen + n
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([seen])], names=["p", "n"])
+
+    part = docs if share >= 1 else docs.filter(F.pmod(F.xxhash64("__id", "__text", F.lit(29)), F.lit(1000)) < int(1000 * share))
+    schema = "p binary, n bigint"
+    rows = part.select("__text").mapInArrow(run, schema).repartition(trainers).mapInArrow(merged, schema).collect()  # trainers times the fixed size of the model
     if rows:
-        mean = sum(np.frombuffer(r[0], np.float32).astype(np.float64) * r[1] for r in rows) / sum(r[1] for r in rows)
+        mean = sum(np.frombuffer(r[0], np.float64) for r in rows) / sum(r[1] for r in rows)
         at = 0
         for k, a in model.p.items():
             model.p[k] = mean[at : at + a.size].reshape(a.shape).astype(np.float32)
@@ -82,7 +93,7 @@ def trained(docs: DataFrame, model: Gru, tokens: Tokens, share: float, trainers:
     return model
 
 
-def score(docs: DataFrame, vocabulary: int = 2000, known: int = 65_536, seed_docs: int = 400, share: float = 0.04, trainers: int = 16, hidden: int = 16, folds: int = 10, test_fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocabulary: int = 2000, known: int = 65_536, seed_docs: int = 400, share: float = 1.0, trainers: int = 16, hidden: int = 16, folds: int = 10, test_fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts are empty: one token, the end. Without training documents N is 0 and both scores are

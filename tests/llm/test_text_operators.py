@@ -255,6 +255,22 @@ def test_lm(spark, docs, none):
     assert lm.score(none).isEmpty()
 
 
+def test_lm_trains_on_every_training_document(spark, monkeypatch):
+    """Each document has a word of its own; the input vector of a word changes only where training meets it."""
+    df = spark.createDataFrame([(i, f"own{i} and more", None, None, 0, "x", "") for i in range(300)], SCHEMA).repartition(6)
+    seen, real = [], lm.trained
+
+    def spied(docs, model, *args, **kwargs):
+        before = model.p["x"].copy()
+        out = real(docs, model, *args, **kwargs)
+        seen.append((out.p["x"] != before).any(axis=1)[1 + lm.N_ENDINGS :])
+        return out
+
+    monkeypatch.setattr(lm, "trained", spied)
+    assert lm.score(df, seed_docs=10).count() == 300
+    assert len(seen[0]) == 2 + sum(not common_held(i) for i in range(300)) and seen[0].all()
+
+
 def common_held(i) -> bool:
     import zlib
 
