@@ -6,8 +6,9 @@ follow each other on one level are a passage. Passages and own texts are cut int
 re-wrapped lines still agree; a sentence is normalised (lower case, letters and digits only) and
 hashed. The original of a sentence is the first message of the same conversation that has it as its
 own, or else the first of all messages; sums and minima are taken before anything is joined, so a
-sentence that stands everywhere is one row. A message replies to the message most of its level-1
-sentences come from (the latest, if equal), or to the turn before it if it quotes nothing known.
+sentence that stands everywhere is one row. Sentences of all levels are linked (``originals``). A
+message replies to the message most of its sentences of the shallowest linked level come from (the
+latest, if equal), or to the turn before it if it quotes nothing known.
 Threads and depths follow by pointer doubling. All of it is DataFrame functions.
 """
 
@@ -71,10 +72,35 @@ def parse(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> Da
     return rows.drop("__text", "__lines")
 
 
+def _votes(placed: DataFrame, kind: str) -> DataFrame:
+    """__conv, turn, level, o (inside, conv_id, turn of an original), n: the distinct quoted sentences of each level by their originals."""
+    said = placed.select("__conv", "conv_id", "turn", F.explode(sentences(F.col("own"))).alias("s"))
+    here = said.groupBy("__conv", "s").agg(F.min("turn").alias("at"))
+    anywhere = said.groupBy("s").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    quoted = placed.filter(F.size("quoted") > 0).select("__conv", "turn", F.explode("quoted").alias("q"))
+    quoted = quoted.select("__conv", "turn", F.col("q.level").alias("level"), F.explode(sentences(F.col("q.content"))).alias("s")).distinct()
+    found = salted_join(quoted, here, ["__conv", "s"], F.col("turn"), "left").withColumn("at", F.when(F.col("at") < F.col("turn"), F.col("at")))
+    found = salted_join(found, anywhere, ["s"], F.xxhash64("__conv", "turn"), "left")
+    # a quote of another conversation: only where its own has no earlier message with the sentence
+    outside = F.col("first").isNotNull() & (F.coalesce(F.concat(F.lit("c"), F.col("first.conv_id").cast("string")), F.lit("n")) != F.col("__conv"))
+    origin = F.when(F.col("at").isNotNull(), F.struct(F.lit(True).alias("inside"), F.lit(None).cast(kind).alias("conv_id"), F.col("at").alias("turn"))).when(
+        outside, F.struct(F.lit(False).alias("inside"), F.col("first.conv_id").alias("conv_id"), F.col("first.turn").alias("turn"))
+    )
+    return found.select("__conv", "turn", "level", origin.alias("o")).filter("o is not null").groupBy("__conv", "turn", "level", "o").agg(F.count(F.lit(1)).alias("n"))
+
+
+def originals(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """One row a message, level and original: conv_id, turn, level, original_conv, original_turn, n_linked (distinct sentences)."""
+    placed = stored(parse(messages, conv, turn, role, text)).filter(F.col("turn").isNotNull())
+    ids = placed.groupBy("__conv").agg(F.first("conv_id").alias("conv_id"))
+    votes = salted_join(_votes(placed, dict(messages.dtypes)[conv]), ids, ["__conv"], F.col("turn"))
+    return votes.select("conv_id", "turn", F.col("level").cast("bigint").alias("level"), F.when(F.col("o.inside"), F.col("conv_id")).otherwise(F.col("o.conv_id")).alias("original_conv"), F.col("o.turn").alias("original_turn"), F.col("n").cast("bigint").alias("n_linked"))
+
+
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row a message: conv_id, turn, role, text (without quotes), n_passages, max_level, n_linked, parent_conv, parent_turn, thread, depth.
 
-    n_linked counts the level-1 sentences from the parent. thread is the turn of the thread's first
+    n_linked counts the sentences from the parent, of the shallowest linked level. thread is the turn of the thread's first
     message, depth the number of replies from it. Sorted by conv_id, thread, turn the messages of a
     conversation stand in the order of replies. A null text has no own words; a message with a null
     turn has no parent and is no original. Null ids of conversations are one conversation. Rows that
@@ -83,20 +109,8 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     """
     rows = stored(parse(messages, conv, turn, role, text))
     placed = rows.filter(F.col("turn").isNotNull())
-    said = placed.select("__conv", "conv_id", "turn", F.explode(sentences(F.col("own"))).alias("s"))
-    here = said.groupBy("__conv", "s").agg(F.min("turn").alias("at"))
-    anywhere = said.groupBy("s").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    quoted = placed.filter(F.size("quoted") > 0).select("__conv", "turn", F.explode("quoted").alias("q")).filter("q.level = 1")
-    quoted = quoted.select("__conv", "turn", F.explode(sentences(F.col("q.content"))).alias("s")).distinct()
-    found = salted_join(quoted, here, ["__conv", "s"], F.col("turn"), "left").withColumn("at", F.when(F.col("at") < F.col("turn"), F.col("at")))
-    found = salted_join(found, anywhere, ["s"], F.xxhash64("__conv", "turn"), "left")
-    # a quote of another conversation: only where its own has no earlier message with the sentence
-    outside = F.coalesce(F.concat(F.lit("c"), F.col("first.conv_id").cast("string")), F.lit("n")) != F.col("__conv")
-    origin = F.when(F.col("at").isNotNull(), F.struct(F.lit(True).alias("inside"), F.lit(None).cast(dict(messages.dtypes)[conv]).alias("conv_id"), F.col("at").alias("turn"))).when(
-        outside, F.struct(F.lit(False).alias("inside"), F.col("first.conv_id").alias("conv_id"), F.col("first.turn").alias("turn"))
-    )
-    votes = found.select("__conv", "turn", origin.alias("o")).filter("o is not null").groupBy("__conv", "turn", "o").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("__conv", "turn").agg(F.max(F.struct("n", "o")).alias("b")).select("__conv", "turn", F.col("b.n").alias("n"), F.col("b.o").alias("o"))
+    votes = _votes(placed, dict(messages.dtypes)[conv])
+    best = votes.groupBy("__conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("up"), "n", "o")).alias("b")).select("__conv", "turn", F.col("b.n").alias("n"), F.col("b.o").alias("o"))
     nodes = placed.select("__conv", "turn").distinct()
     before = nodes.select("__conv", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
     parents = nodes.join(best, ["__conv", "turn"], "left").join(before, ["__conv", "turn"], "left")

@@ -352,3 +352,15 @@ def test_quotes(spark):
     assert (got["b"]["parent_turn"], got["b"]["depth"]) == (0, 1) and (got["e"]["parent_turn"], got["e"]["depth"], got["e"]["text"]) == (2, 2, "")
     assert got["g"]["parent_turn"] is None and got["f"]["depth"] == 0 and got["h"]["depth"] == 0
     assert quotes.link(df.limit(0)).isEmpty()
+
+
+def test_nested_quotes(spark):
+    rows = [
+        (1, 0, "The first idea is good. It needs work."), (1, 1, "A second thought stands here."), (1, 2, "Nothing is quoted."),
+        (1, 3, "> > It needs work.\nDeep only."), (1, 4, "> A second thought stands here.\n>> The first idea is good.\n>> It needs work.\nBoth."), (1, 5, "> unknown words\n>>> A second thought stands here.\nYes."),
+    ]
+    df = spark.createDataFrame([(c, t, "a", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")
+    got = {r["turn"]: (r["parent_turn"], r["n_linked"], r["depth"]) for r in quotes.link(df).collect()}
+    assert (got[3], got[4], got[5]) == ((0, 1, 1), (1, 1, 2), (1, 1, 2))
+    levels = {tuple(r) for r in quotes.originals(df).collect()}
+    assert levels == {(1, 3, 2, 1, 0, 1), (1, 4, 1, 1, 1, 1), (1, 4, 2, 1, 0, 2), (1, 5, 3, 1, 1, 1)}
