@@ -35,6 +35,24 @@ class Method:
     #: what is applied to counts first, and to the sum
     before: Callable[[Column], Column] = lambda x: x
     after: Callable[[Column], Column] = lambda x: x
+    #: the term needs fractions only: (fraction 1, fraction 2)
+    of_fractions: Callable[[Column, Column], Column] | None = None
+
+    def kept(self, ad: Column, alleles: int) -> dict[str, Column]:
+        """What a row of one cell keeps for its pairs, worked out once a row: fractions, or counts and their total."""
+        counts = [self.before(F.coalesce(F.try_element_at(ad, F.lit(k + 1)), F.lit(0))).cast("double") for k in range(alleles)]
+        whole = sum(counts[1:], counts[0])
+        if self.of_fractions:
+            return {f"f{k}": F.try_divide(c, whole) for k, c in enumerate(counts)}
+        return {"t": whole} | {f"c{k}": c for k, c in enumerate(counts)}
+
+    def of_kept(self, a: Callable[[str], Column], b: Callable[[str], Column], alleles: int) -> Column:
+        """The distance from what two rows have kept."""
+        if self.of_fractions:
+            terms = [self.of_fractions(a(f"f{k}"), b(f"f{k}")) for k in range(alleles)]
+        else:
+            terms = [self.term(a(f"c{k}"), a("t"), b(f"c{k}"), b("t")) for k in range(alleles)]
+        return self.after(sum(terms, F.lit(0.0)))
 
     def __call__(self, ad1: Column, ad2: Column, alleles: int | None = None) -> Column:
         if alleles is None:
@@ -51,16 +69,8 @@ class Method:
         return F.when(same, self.after(out))
 
 
-def _pow(p: float) -> Term:
-    return lambda x, tx, y, ty: F.pow(midpoint_distance(F.try_divide(x, tx), F.try_divide(y, ty)), F.lit(float(p)))
-
-
-def _depth_pow(p: float) -> Term:
-    def term(x, tx, y, ty):
-        f, g = F.try_divide(x, tx), F.try_divide(y, ty)
-        return F.pow(midpoint_distance(f, g), F.lit(float(p))) * ((f + g) / 2)
-
-    return term
+def _by_fractions(name: str, term: Callable[[Column, Column], Column]) -> Method:
+    return Method(name, lambda x, tx, y, ty: term(F.try_divide(x, tx), F.try_divide(y, ty)), of_fractions=term)
 
 
 def _chi2(x: Column, tx: Column, y: Column, ty: Column) -> Column:
@@ -73,9 +83,11 @@ def _chi2(x: Column, tx: Column, y: Column, ty: Column) -> Column:
 def method(name: str) -> Method:
     """The method of that name; ValueError for an unknown one."""
     if m := re.fullmatch(r"pow(\d+(?:\.\d+)?)", name):
-        return Method(name, _pow(float(m[1])))
+        p = F.lit(float(m[1]))
+        return _by_fractions(name, lambda f, g: F.pow(midpoint_distance(f, g), p))
     if m := re.fullmatch(r"depthpow(\d+(?:\.\d+)?)", name):
-        return Method(name, _depth_pow(float(m[1])))
+        p = F.lit(float(m[1]))
+        return _by_fractions(name, lambda f, g: F.pow(midpoint_distance(f, g), p) * ((f + g) / 2))
     if name == "chi2":
         return Method(name, _chi2)
     if m := re.fullmatch(r"chi2pow(\d+(?:\.\d+)?)-(\d+(?:\.\d+)?)", name):

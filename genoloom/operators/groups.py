@@ -49,7 +49,8 @@ def precision_recall(known: DataFrame, found: DataFrame) -> DataFrame:
     both = k.join(g, "barcode").groupBy("known", "grp").agg(F.sum(F.least("a", "b")).alias("overlap"))
     sizes_k = known.groupBy("known").agg(F.count(F.lit(1)).alias("n_known"))
     sizes_g = found.groupBy("grp").agg(F.count(F.lit(1)).alias("n_found"))
-    every = sizes_k.withColumn("__one", F.lit(1)).join(sizes_g.withColumn("__one", F.lit(1)), "__one").drop("__one")  # a table of lists by groups is the result
+    # a table of lists by groups is the result: each list gets the few groups as one array
+    every = sizes_k.withColumn("__g", F.explode(sizes_g.select(F.collect_list(F.struct("grp", "n_found"))).scalar())).select("known", "n_known", "__g.grp", "__g.n_found")
     out = every.join(both, ["known", "grp"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("bigint")))
     ratio = lambda n: F.try_divide(F.col("overlap").cast("double"), F.col(n).cast("double"))
     return out.select("known", "grp", "overlap", (F.col("n_known") - F.col("overlap")).alias("missed"), (F.col("n_found") - F.col("overlap")).alias("wrong"), ratio("n_known").alias("recall"), ratio("n_found").alias("precision"))
@@ -62,9 +63,8 @@ def move_costs(dist: DataFrame, assign: DataFrame) -> DataFrame:
     sum over the other group by its size and the cell. Groups a cell has no distance to cost 0. With one group
     there is no other: ``to`` is null.
     """
-    sums = cell_group_distance(dist, assign).select("cell", F.col("grp").alias("to"), "sum")
     sizes = assign.groupBy(F.col("grp").alias("to")).agg(F.count(F.lit(1)).alias("n"))
-    every = assign.withColumn("__one", F.lit(1)).join(sizes.withColumn("__one", F.lit(1)), "__one").join(sums, ["cell", "to"], "left").withColumn("sum", F.coalesce("sum", F.lit(0.0)))
+    every = _by_group(dist, assign, assign.select("cell", "grp"), sizes)
     own = F.col("grp") == F.col("to")
     return every.groupBy("cell", "grp").agg(
         F.max(F.when(own, F.try_divide("sum", (F.col("n") - 1).cast("double")))).alias("remove_cost"),
@@ -75,8 +75,18 @@ def move_costs(dist: DataFrame, assign: DataFrame) -> DataFrame:
 def redistribute(dist: DataFrame, assign: DataFrame, trash: DataFrame) -> DataFrame:
     """cell, grp: each cell of the trash in the group with the least difference of its cost there (its distances by the size with it) and the group's distance; the first, if equal."""
     gd = group_distance(dist, assign).withColumnRenamed("d", "gd")
-    sizes = assign.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).join(gd, "grp").withColumn("__one", F.lit(1))
-    sums = cell_group_distance(dist, assign).select("cell", "grp", "sum")
-    rows = trash.select("cell").withColumn("__one", F.lit(1)).join(sizes, "__one").join(sums, ["cell", "grp"], "left").withColumn("sum", F.coalesce("sum", F.lit(0.0)))
+    sizes = assign.groupBy(F.col("grp").alias("to")).agg(F.count(F.lit(1)).alias("n")).join(gd.withColumnRenamed("grp", "to"), "to")
+    rows = _by_group(dist, assign, trash.select("cell"), sizes)
     cost = F.col("sum") / (F.col("n") + 1) - F.col("gd")
-    return rows.groupBy("cell").agg(F.min(F.struct(cost.alias("c"), F.col("grp").alias("g"))).alias("b")).select("cell", F.col("b.g").alias("grp"))
+    return rows.groupBy("cell").agg(F.min(F.struct(cost.alias("c"), F.col("to").alias("g"))).alias("b")).select("cell", F.col("b.g").alias("grp"))
+
+
+def _by_group(dist: DataFrame, assign: DataFrame, rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``rows`` (cell, ...) by the groups of ``sizes`` (to, ...), with sum: the cell's distances to the group, 0 without any.
+
+    Groups are as few as the clusters asked for: they come to each row as one array, not by a join, and a
+    cell's sums are one map, so all of it stays where the cell is.
+    """
+    sums = cell_group_distance(dist, assign).groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("grp", "sum"))).alias("__sums"))
+    every = rows.join(sums, "cell", "left").withColumn("__to", F.explode(sizes.select(F.collect_list(F.struct(*sizes.columns))).scalar()))
+    return every.select(*rows.columns, "__to.*", F.coalesce(F.try_element_at("__sums", F.col("__to.to")), F.lit(0.0)).alias("sum"))

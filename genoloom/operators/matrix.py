@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 def symmetric(dist: DataFrame) -> DataFrame:
     """Both directions of each pair."""
-    return dist.select("s1", "s2", "d").unionByName(dist.select(F.col("s2").alias("s1"), F.col("s1").alias("s2"), "d"))
+    ways = F.array(F.struct(F.col("s1").alias("a"), F.col("s2").alias("b")), F.struct(F.col("s2").alias("a"), F.col("s1").alias("b")))
+    return dist.select(F.explode(ways).alias("p"), "d").select(F.col("p.a").alias("s1"), F.col("p.b").alias("s2"), "d")
 
 
 def overlap(dist: DataFrame, cells: DataFrame, cutoff: float) -> DataFrame:
@@ -63,8 +64,8 @@ def subgroup_histogram(dist: DataFrame, groups: DataFrame) -> DataFrame:
     """
     one = groups.select(F.col("cell").alias("s1"), F.col("grp").alias("g1"))
     two = groups.select(F.col("cell").alias("s2"), F.col("grp").alias("g2"))
-    rows = symmetric(dist).join(one, "s1").join(two, "s2").filter("g1 <= g2")
-    return rows.groupBy("g1", "g2", F.col("d").alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    rows = dist.join(one, "s1").join(two, "s2").select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"), "d")
+    return rows.groupBy("g1", "g2", F.col("d").alias("value")).agg(F.sum(F.when(F.col("g1") == F.col("g2"), 2).otherwise(1)).alias("count"))
 
 
 def group_distance(dist: DataFrame, groups: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def vectors(dist: DataFrame, cells: DataFrame) -> DataFrame:
     """cell, features: a cell's distances to all cells in order, missing ones 0."""
     from pyspark.ml.functions import array_to_vector
 
-    every = cells.select(F.sort_array(F.collect_list("cell")).alias("every")).withColumn("__one", F.lit(1))
+    every = cells.select(F.sort_array(F.collect_list("cell"))).scalar()
     have = symmetric(dist).groupBy(F.col("s1").alias("cell")).agg(F.map_from_entries(F.collect_list(F.struct("s2", "d"))).alias("m"))
-    rows = cells.select("cell").join(have, "cell", "left").withColumn("__one", F.lit(1)).join(every, "__one")
-    return rows.select("cell", array_to_vector(F.transform("every", lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0)))).alias("features"))
+    rows = cells.select("cell").join(have, "cell", "left").withColumn("__every", every)
+    return rows.select("cell", array_to_vector(F.transform("__every", lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0)))).alias("features"))

@@ -26,20 +26,22 @@ def covered_arrays(obs: DataFrame, min_coverage: int = 5, key: str = "site") ->
 
 
 def cell_pairs(arrays: DataFrame, key: str = "site", blocks: int | None = None, cells: int | None = None) -> DataFrame:
-    """tile, key, s1, s2, ad1, ad2 for all pairs s1 < s2 of cells that share a site.
+    """tile, key, s1, s2 and what both rows carry (ad1, ad2, or any columns but key and cell, with a 1 or 2 behind) for all pairs s1 < s2 of cells that share a site.
 
     ``cells``: how many there are, numbered from 0; found by a pass over ``arrays`` if not given.
     ``blocks``: by default as many as give four tiles for each shuffle partition; a row is copied once a block at most.
     """
     spark = arrays.sparkSession
-    spark.conf.set(CO_PARTITION, "false")
+    spark.conf.set(CO_PARTITION, "false")  # read when the plan is made; without it Spark would deal out all pairs once more
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = blocks or math.ceil(math.sqrt(8 * n))
     number = F.lit(cells) if cells else arrays.select(F.max("cell") + 1).scalar()
     block = F.floor(F.col("cell").cast("bigint") * blocks / number).cast("int")
     tile = lambda a, b: F.col(a) * blocks + F.col(b)
-    left = arrays.select(key, F.col("cell").alias("s1"), F.col("ad").alias("ad1"), block.alias("__a"), F.explode(F.sequence(block, F.lit(blocks - 1))).alias("__b"))
-    right = arrays.select(key, F.col("cell").alias("s2"), F.col("ad").alias("ad2"), F.explode(F.sequence(F.lit(0), block)).alias("__a"), block.alias("__b"))
+    carried = [c for c in arrays.columns if c not in (key, "cell")]
+    side = lambda k: [F.col(c).alias(f"{c}{k}") for c in carried]
+    left = arrays.select(key, F.col("cell").alias("s1"), *side(1), block.alias("__a"), F.explode(F.sequence(block, F.lit(blocks - 1))).alias("__b"))
+    right = arrays.select(key, F.col("cell").alias("s2"), *side(2), F.explode(F.sequence(F.lit(0), block)).alias("__a"), block.alias("__b"))
     left = left.withColumn("tile", tile("__a", "__b")).drop("__a", "__b").repartition(n, "tile")
     right = right.withColumn("tile", tile("__a", "__b")).drop("__a", "__b").repartition(n, "tile")
     return left.hint("shuffle_hash").join(right, ["tile", key]).filter("s1 < s2")
@@ -48,8 +50,17 @@ def cell_pairs(arrays: DataFrame, key: str = "site", blocks: int | None = None,
 def distances(obs: DataFrame, methods: list[str] | str = "pow4", min_coverage: int = 5, key: str = "site", alleles: int | None = None, blocks: int | None = None, cells: int | None = None) -> DataFrame:
     """s1, s2, positions (shared sites), and a column of distances for each method, all in one pass over the pairs."""
     names = sorted({methods} if isinstance(methods, str) else set(methods))
-    pairs = cell_pairs(covered_arrays(obs, min_coverage, key), key, blocks, cells)
-    sums = [F.sum(method(n)(F.col("ad1"), F.col("ad2"), alleles)).alias(n) for n in names]
+    arrays = covered_arrays(obs, min_coverage, key)
+    if alleles is None:
+        pairs = cell_pairs(arrays, key, blocks, cells)
+        sums = [F.sum(method(n)(F.col("ad1"), F.col("ad2"))).alias(n) for n in names]
+    else:
+        # plain columns, made once a row: a pair only does arithmetic on them. The arrays of a site are of one length.
+        chosen = [method(n) for n in names]
+        columns = {f"m{i}{c}_": x for i, m in enumerate(chosen) for c, x in m.kept(F.col("ad"), alleles).items()}
+        pairs = cell_pairs(arrays.select(key, "cell", *(x.alias(c) for c, x in columns.items())), key, blocks, cells)
+        at = lambda i, k: lambda c: F.col(f"m{i}{c}_{k}")
+        sums = [F.sum(m.of_kept(at(i, 1), at(i, 2), alleles)).alias(m.name) for i, m in enumerate(chosen)]
     return pairs.groupBy("tile", "s1", "s2").agg(F.count(F.lit(1)).alias("positions"), *sums).drop("tile")
 
 
@@ -61,7 +72,8 @@ def scatter(obs: DataFrame, min_coverage: int = 5, key: str = "site") -> DataFra
     return rows.select("s1", "s2", key, "allele", f1.alias("f1"), f2.alias("f2"), midpoint_distance(f1, f2).alias("distance"))
 
 
-def normalised(dist: DataFrame, counts: DataFrame, value: Column | None = None) -> DataFrame:
-    """s1, s2, d: distances a shared position. Pairs without a count are dropped."""
+def normalised(dist: DataFrame, counts: DataFrame | None = None, value: Column | None = None) -> DataFrame:
+    """s1, s2, d: distances a shared position. Pairs without a count are dropped. Without ``counts`` the rows have their own positions."""
     value = F.col("d") if value is None else value
-    return dist.join(counts.select("s1", "s2", "positions"), ["s1", "s2"]).select("s1", "s2", F.try_divide(value, F.col("positions").cast("double")).alias("d"))
+    rows = dist.filter("positions is not null") if counts is None else dist.join(counts.select("s1", "s2", "positions"), ["s1", "s2"])
+    return rows.select("s1", "s2", F.try_divide(value, F.col("positions").cast("double")).alias("d"))

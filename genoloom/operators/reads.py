@@ -36,9 +36,12 @@ def pileup_umi(reads: DataFrame, order: list[str], scope: tuple[str, ...] = ("si
     """Observations with UMIs: of the reads of a UMI at a site the first, in ``order``, is counted as a UMI.
 
     All cells and alleles of a site share its UMIs; with "cell" in ``scope`` each cell has its own.
+    A read without a UMI counts by its duplicate flag.
     """
     first = F.row_number().over(Window.partitionBy(*scope, "umi").orderBy(*order)) == 1
-    return _observed(reads.withColumn("__new", first), F.col("__new"))
+    tagged = reads.filter(F.col("umi").isNotNull()).withColumn("__new", first)
+    plain = reads.filter(F.col("umi").isNull()).withColumn("__new", ~F.col("dup"))
+    return _observed(tagged.unionByName(plain), F.col("__new"))
 
 
 def _observed(reads: DataFrame, new: Column) -> DataFrame:
@@ -90,31 +93,36 @@ def cigar_bases(reads: DataFrame, keep: list[str], start: str = "pos", seq: str
         .when(F.exists("__w.out", lambda o: (o["op"] == "D") & ~o["based"]), CIGAR_ERRORS["deletion"])
     )
     walked = walked.withColumn("__ok", F.when(bad.isNull(), F.lit(True)).otherwise(F.raise_error(bad).cast("boolean"))).filter("__ok")
-    piece = lambda text, o, k: F.substring(text, o["read"] + k + 1, F.lit(1))
-    # an operation's anchor is the reference position before it; bases and placeholders come by position
+    out = F.col("__w.out")
+    is_base = lambda o: o["op"].isin("M", "=", "X")
+    # an insertion's or deletion's anchor is the reference position before it
+    added = lambda p, text: F.array_join(F.transform(F.filter(out, lambda x: (x["op"] == "I") & (x["ref"] - 1 == p)), lambda x: F.substring(text, x["read"] + 1, x["n"])), "")
+    lost = lambda p: F.aggregate(F.filter(out, lambda x: (x["op"] == "D") & (x["ref"] - 1 == p)), F.lit(0), lambda a, x: a + x["n"])
+    seq_, qual_ = F.col("__seq"), F.col("__qual")
+
+    def entry(o, k, based: bool) -> Column:
+        """The row of an operation's k-th position; only the last ones can be anchors."""
+        p, last = o["ref"] + k, k >= o["n"] - 1
+        own = lambda text: F.substring(text, o["read"] + k + 1, F.lit(1)) if based else F.lit("")
+        whole = lambda text: F.when(last, F.concat(own(text), added(p, text))).otherwise(own(text))
+        return F.struct(p.alias("position"), whole(seq_).alias("a"), whole(qual_).alias("q"), F.when(last, lost(p)).otherwise(0).alias("d"))
+
+    covered = lambda p: F.exists(out, lambda x: (is_base(x) & (x["ref"] == p)) | ((x["op"] == "D") & (x["ref"] == p)))
+    anchored = lambda p: F.exists(out, lambda x: x["op"].isin("I", "D") & (x["ref"] - 1 == p))
+    after_gap = lambda p: F.exists(out, lambda x: (x["op"] == "D") & (x["ref"] + x["n"] == p))
     spread = F.flatten(
         F.transform(
-            "__w.out",
-            lambda o: F.when(
-                o["op"].isin("M", "=", "X"),
-                F.transform(F.sequence(F.lit(0), o["n"] - 1), lambda k: F.struct((o["ref"] + k).alias("position"), piece(F.col("__seq"), o, k).alias("a"), piece(F.col("__qual"), o, k).alias("q"), F.lit(0).alias("d"), F.lit(0).alias("rank"))),
-            )
-            .when(o["op"] == "I", F.array(F.struct((o["ref"] - 1).alias("position"), F.substring(F.col("__seq"), o["read"] + 1, o["n"]).alias("a"), F.substring(F.col("__qual"), o["read"] + 1, o["n"]).alias("q"), F.lit(0).alias("d"), F.lit(1).alias("rank"))))
-            .when(
-                o["op"] == "D",
-                F.concat(
-                    F.array(F.struct((o["ref"] - 1).alias("position"), F.lit("").alias("a"), F.lit("").alias("q"), o["n"].alias("d"), F.lit(2).alias("rank"))),
-                    F.transform(F.sequence(F.lit(0), o["n"]), lambda k: F.struct((o["ref"] + k).alias("position"), F.lit("").alias("a"), F.lit("").alias("q"), F.lit(0).alias("d"), F.lit(3).alias("rank"))),
-                ),
-            )
-            .otherwise(F.array().cast("array<struct<position:bigint,a:string,q:string,d:int,rank:int>>")),
+            out,
+            lambda o: F.when(is_base(o), F.transform(F.sequence(F.lit(0), o["n"] - 1), lambda k: entry(o, k, True)))
+            # the placeholder behind a deletion stands only where nothing else does
+            .when(o["op"] == "D", F.transform(F.sequence(F.lit(0), F.when(covered(o["ref"] + o["n"]), o["n"] - 1).otherwise(o["n"])), lambda k: entry(o, k, False)))
+            .when((o["op"] == "N") & anchored(o["ref"] + o["n"] - 1) & ~after_gap(o["ref"] + o["n"] - 1), F.array(entry(o, o["n"] - 1, False)))
+            .otherwise(F.array().cast("array<struct<position:bigint,a:string,q:string,d:int>>")),
         )
     )
-    # gathered by position within the row: no shuffle
-    rows = walked.select(*keep, F.explode(F.array_distinct(F.transform(spread, lambda x: x["position"]))).alias("position"), spread.alias("__s"))
-    own = F.filter("__s", lambda x: x["position"] == F.col("position"))
-    text = lambda field: F.array_join(F.transform(F.array_sort(F.transform(own, lambda x: F.struct(x["rank"].alias("r"), x[field].alias("v")))), lambda x: x["v"]), "")
-    return rows.select(*keep, "position", text("a").alias("allele"), text("q").alias("quals"), F.aggregate(own, F.lit(0), lambda a, x: a + x["d"]).alias("del_bases"))
+    # each position once, made from its operation alone: linear in the read's length, no shuffle
+    rows = walked.select(*keep, F.explode(spread).alias("__x"))
+    return rows.select(*keep, F.col("__x.position").alias("position"), F.col("__x.a").alias("allele"), F.col("__x.q").alias("quals"), F.col("__x.d").alias("del_bases"))
 
 
 def site_alleles(observed: DataFrame, reference: DataFrame) -> DataFrame:
@@ -123,10 +131,10 @@ def site_alleles(observed: DataFrame, reference: DataFrame) -> DataFrame:
     ``observed``: contig, pos, cell, allele, del_bases and the four counts; ``reference``: contig, seq.
     The span is the longest deletion plus one. An allele that the span begins with is the reference; one
     with a deletion or of the span's length stays; any other is laid over the span and cut to its length.
+    The sequence is met in blocks, and only by sites, so no row ever carries a contig.
     """
     longest = observed.groupBy("contig", "pos").agg(F.max("del_bases").alias("span"))
-    wide = observed.join(longest, ["contig", "pos"]).join(reference, "contig")
-    wide = wide.withColumn("ref", F.upper(F.substring("seq", F.col("pos").cast("int"), F.col("span") + 1))).drop("seq")
+    wide = observed.join(reference_spans(longest, reference), ["contig", "pos"])
     plain = (F.col("del_bases") == 0) & F.startswith("ref", "allele")
     laid = F.substring(F.concat("allele", F.substring("ref", F.length("allele") + 1, F.length("ref"))), F.lit(1), F.length("ref"))
     text = F.when(plain, F.col("ref")).when((F.col("del_bases") > 0) | (F.length("allele") == F.length("ref")), F.col("allele")).otherwise(laid)
@@ -134,6 +142,21 @@ def site_alleles(observed: DataFrame, reference: DataFrame) -> DataFrame:
     return wide.withColumn("text", text).groupBy("contig", "pos", "cell", "ref", "text").agg(*(F.sum(c).alias(c) for c in counts))
 
 
+def reference_spans(sites: DataFrame, reference: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """contig, pos, ref: the ``span`` + 1 bases of the reference from each site on, in upper case; shorter at a contig's end.
+
+    ``sites``: contig, pos (1-based), span. Both sides are cut to blocks of ``block`` bases and joined by (contig, block).
+    """
+    at = F.col("pos").cast("bigint") - 1
+    need = sites.select("contig", "pos", "span", F.explode(F.sequence(F.floor(at / block), F.floor((at + F.col("span")) / block))).alias("__block"))
+    cut = reference.select("contig", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / block))).alias("__block"), "seq")
+    cut = cut.select("contig", "__block", F.substring("seq", (F.col("__block") * block + 1).cast("int"), F.lit(block)).alias("__part"))
+    first, last = F.greatest(at, F.col("__block") * block), F.least(at + F.col("span"), (F.col("__block") + 1) * block - 1)
+    part = F.substring("__part", (first - F.col("__block") * block + 1).cast("int"), (last - first + 1).cast("int"))
+    rows = need.join(cut, ["contig", "__block"]).groupBy("contig", "pos").agg(F.sort_array(F.collect_list(F.struct(F.col("__block").alias("b"), part.alias("t")))).alias("__parts"))
+    return rows.select("contig", "pos", F.upper(F.array_join(F.transform("__parts", lambda x: x["t"]), "")).alias("ref"))
+
+
 def site_calls(alleles: DataFrame, min_cell_depth: int = 0) -> tuple[DataFrame, DataFrame]:
     """(variants: contig, pos, ref, alts; observations: contig, pos, cell, allele index, counts) of sites with an alternative allele.
 
@@ -157,15 +180,26 @@ def in_region(rows: DataFrame, start: int, end: int, column: str = "pos") -> Dat
 
 
 def overlapping(reads: DataFrame, regions: DataFrame, bin_size: int = 100_000) -> DataFrame:
-    """Reads (contig, start, end) that overlap a region (contig, start, end; 0-based, half open), each once.
+    """Reads (contig, start, end; 1-based, both included) that overlap a region (contig, start, end; 0-based, half open), row for row.
 
-    Both sides are cut into bins, so the join is by contig and bin and never compares all pairs.
+    Both sides are cut into bins, so the join is by contig and bin and never compares all pairs. Regions are
+    merged first: the regions a read meets follow each other, and it is kept at the first of them, in the
+    first bin that both have. Regions without a base and reads without a place meet nothing.
     """
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / bin_size), F.floor(b / bin_size)))
-    left = reads.withColumn("__bin", bins(F.col("start"), F.col("end")))
-    right = regions.select(F.col("contig").alias("__c"), F.col("start").alias("__s"), F.col("end").alias("__e")).withColumn("__bin", bins(F.col("__s") + 1, F.col("__e")))
-    hit = left.join(right, (left["contig"] == right["__c"]) & (left["__bin"] == right["__bin"]) & (F.col("start") <= F.col("__e")) & (F.col("end") > F.col("__s")), "left_semi")
-    return hit.drop("__bin").distinct()
+    left = reads.filter("contig is not null and start <= end").withColumn("__bin", bins(F.col("start"), F.col("end")))
+    own = merged_regions(regions.select("contig", "start", "end").filter("start < end"))
+    right = own.select(F.col("contig").alias("__c"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.lag("end").over(Window.partitionBy("contig").orderBy("start")).alias("__before"))
+    right = right.withColumn("__bin", bins(F.col("__s") + 1, F.col("__e")))
+    meets = (left["contig"] == right["__c"]) & (left["__bin"] == right["__bin"]) & (F.col("start") <= F.col("__e")) & (F.col("end") > F.col("__s"))
+    first = (F.col("__before").isNull() | (F.col("start") > F.col("__before"))) & (left["__bin"] == F.greatest(F.floor(F.col("start") / bin_size), F.floor((F.col("__s") + 1) / bin_size)))
+    return left.join(right, meets & first, "left_semi").drop("__bin")
+
+
+def covered_positions(rows: DataFrame, regions: DataFrame, bin_size: int = 100_000) -> DataFrame:
+    """Rows (contig, pos; 1-based) that lie in a region (0-based, half open); a position has one bin."""
+    point = rows.withColumns({"start": F.col("pos"), "end": F.col("pos")})
+    return overlapping(point, regions, bin_size).drop("start", "end")
 
 
 def merged_regions(regions: DataFrame) -> DataFrame:

@@ -113,8 +113,8 @@ def pair_scatter(spark, sf_dir):
 
 @query("SELECT s1, s2, round(d / positions, 9) AS d FROM dist")
 def dist_normalised(spark, sf_dir):
-    rows = _distance(spark, sf_dir)
-    return pairs.normalised(rows.select("s1", "s2", F.round("pow4", 6).alias("d")), rows).select("s1", "s2", F.round("d", 9).alias("d"))
+    rows = _distance(spark, sf_dir).select("s1", "s2", "positions", F.round("pow4", 6).alias("d"))
+    return pairs.normalised(rows).select("s1", "s2", F.round("d", 9).alias("d"))
 
 
 @query("SELECT coalesce(cell::VARCHAR, 'No-Barcode') AS barcode, count(*) FILTER (NOT dup) AS umi, count(*) AS read FROM reads GROUP BY 1")

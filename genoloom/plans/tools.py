@@ -30,7 +30,7 @@ class CellReads:
     def run(self, spark: SparkSession) -> DataFrame:
         reads = text.sam(spark, self.input)
         if self.intervals:
-            reads = R.overlapping(reads.withColumnRenamed("pos", "start"), R.merged_regions(text.regions(spark, self.intervals)))
+            reads = R.overlapping(reads.withColumnRenamed("pos", "start"), text.regions(spark, self.intervals))
         counts = R.reads_per_barcode(reads.select(F.col("tags")[self.sample_tag].alias("barcode"), "dup"))
         sinks.table(counts, f"{self.output}/{self.sample_tag}.tsv", ["barcode"])
         sinks.histogram(R.histogram(counts, "umi"), f"{self.output}/{self.sample_tag}.histogram.tsv")
@@ -56,13 +56,12 @@ class CellVariantcaller:
     def calls(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """(raw variants, raw observations, filtered variants, filtered observations), all with a site."""
         cells = text.cell_list(spark, self.correct_cells)
-        reads = text.sam(spark, self.input).withColumns({"barcode": F.col("tags")[self.sample_tag], "umi": F.col("tags")[self.umi_tag] if self.umi_tag else F.lit(None).cast("string"), "ord": F.monotonically_increasing_id()})
+        reads = text.sam(spark, self.input).withColumns({"barcode": F.col("tags")[self.sample_tag], "umi": F.col("tags")[self.umi_tag] if self.umi_tag else F.lit(None).cast("string"), "ord": F.struct("pos", "name", "flag")})
         reads = R.known_cells(reads, cells)
         bases = R.cigar_bases(reads, ["contig", "cell", "umi", "forward", "dup", "ord"]).withColumnRenamed("position", "pos")
         bases = bases.filter(F.coalesce(R.mean_quality(F.col("quals")) >= self.cutoffs.min_base_quality, F.lit(False)))
         if self.intervals:
-            spans = R.merged_regions(text.regions(spark, self.intervals)).select(F.col("contig").alias("__c"), "start", "end")
-            bases = bases.join(spans, (F.col("contig") == F.col("__c")) & (F.col("pos") > F.col("start")) & (F.col("pos") <= F.col("end")), "left_semi")
+            bases = R.covered_positions(bases, text.regions(spark, self.intervals))
         keyed = bases.withColumns({"site": F.struct("contig", "pos"), "allele": F.struct("allele", "del_bases")})
         # reads without a UMI count by their duplicate flag
         raw = R.pileup_umi(keyed, ["ord"]) if self.umi_tag else R.pileup(keyed)
