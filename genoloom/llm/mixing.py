@@ -3,9 +3,14 @@
 A source with share p of the rows and target weight w is repeated at the mean rate r = w / p (times
 ``epochs``). Each document gets a uniform number from a seeded hash of its id and text and is
 copied k times, k being the quantile of the Poisson distribution with mean r at that number. The
-distribution of each source is tabulated once, from its mode outwards as far as doubles carry.
-The copies are dealt to partitions, and ordered within them, by a hash of seed, document and copy
-number: a global random order from one exchange, with no source and no document in one place.
+distribution of each source is tabulated once, as far as doubles carry; its length is about the
+rate, so reading it costs no more than writing the copies.
+
+The table of sources is counted first: up to ``broadcast_sources`` sources it is broadcast, beyond
+that it is joined with salted keys. Documents without a copy are dropped and no table stays on a row
+when the copies are dealt to partitions, and ordered within them, by a hash of seed, document and
+copy number: a global random order from one exchange of the texts, with no source and no document in
+one place.
 """
 
 from __future__ import annotations
@@ -44,35 +49,43 @@ def cumulative(rate: Column) -> Column:
     )
 
 
-def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, epochs: float) -> DataFrame:
-    """__source, __rate, __cdf of each source; sources without a weight get 1, a weight of 0 drops a source."""
+def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, epochs: float) -> tuple[DataFrame, int, int]:
+    """(__source, __rate, __cdf of each source; how many sources and rows there are); sources without a weight get 1, a weight of 0 drops a source."""
+    if bad := [w for w in [*(weights or {}).values(), epochs] if not 0 <= w < float("inf")]:
+        raise ValueError(f"Weights and epochs are finite and not negative: {bad[0]}")
     sizes = docs.groupBy(F.coalesce(F.concat(F.lit("s"), source_col), F.lit("n")).alias("__source")).agg(F.count(F.lit(1)).alias("__n"))
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("__source") == f"s{name}", F.lit(float(w))).otherwise(weight)
     sizes = sizes.withColumn("__w", weight)
-    rate = F.col("__w") / sizes.select(F.sum("__w")).scalar() * sizes.select(F.sum("__n")).scalar() / F.col("__n") * F.lit(float(epochs))
-    out = sizes.withColumn("__rate", F.coalesce(rate, F.lit(0.0)))
-    return out.select("__source", "__rate", cumulative(F.col("__rate")).alias("__cdf"))
+    n_sources, n_rows, mass = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("__n"), F.lit(0)), F.sum("__w")).first()
+    rate = F.col("__w") / F.lit(float(mass)) * F.lit(float(n_rows)) / F.col("__n") * F.lit(float(epochs)) if mass else F.lit(0.0)
+    return sizes.select("__source", rate.alias("__rate")).withColumn("__cdf", cumulative(F.col("__rate"))), n_sources, n_rows
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(
+    docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 17, broadcast_sources: int = 1000, partition_rows: int = 100_000,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
     """The input's columns, then ``copy`` (1, 2, ...) and ``mix_rate``, in a global random order.
 
     A null source is a source of its own. Null ids are told apart by their texts; rows equal in id
-    and text get the same count each. An empty table gives an empty result. An input column named
-    ``copy`` or ``mix_rate`` is replaced.
+    and text get the same count each; null and empty texts are copied like any other. An empty table
+    gives an empty result, and so do weights that are all 0; negative weights are an error. An input
+    column named ``copy`` or ``mix_rate`` is replaced. The result has a partition for ``partition_rows``
+    expected copies, and as many as the session's shuffles at least.
     """
     own = docs.drop("copy", "mix_rate")
     keyed = own.withColumns({"__source": F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")), "__doc": document_hash(F.col(id_col), F.col(text_col))})
     keyed = keyed.withColumn("__u", uniform(seed, F.col("__doc")))
-    rows = salted_join(keyed, rates(docs, source_col, weights, epochs), ["__source"], F.col("__doc"))
+    table, n_sources, n_rows = rates(docs, source_col, weights, epochs)
+    rows = keyed.join(F.broadcast(table), "__source") if n_sources <= broadcast_sources else salted_join(keyed, table, ["__source"], F.col("__doc"))
     # entries of the table below u: the number of copies
     rows = rows.withColumn("__k", F.size(F.filter("__cdf", lambda p: p < F.col("__u"))))
-    rows = rows.filter("__k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__k"))))
-    rows = rows.withColumn("__order", F.xxhash64(F.lit(seed), "__doc", "copy"))
-    rows = rows.repartition(parallelism(docs.sparkSession), "__order").sortWithinPartitions("__order")
-    return rows.select(*own.columns, "copy", F.col("__rate").alias("mix_rate"))
+    rows = rows.select(*own.columns, "__doc", F.col("__rate").alias("mix_rate"), "__k").filter("__k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__k"))))
+    rows = rows.select(*own.columns, "copy", "mix_rate", F.xxhash64(F.lit(seed), "__doc", "copy").alias("__order"))
+    n = max(parallelism(docs.sparkSession), -int(-n_rows * epochs // partition_rows))
+    return rows.repartition(n, "__order").sortWithinPartitions("__order").drop("__order")
 
 
 #: Under DuckDB, for uniform weights over sources, one epoch and seed 17.

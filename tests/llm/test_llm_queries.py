@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -17,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
 
 
 def plain(df) -> list:
-    one = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    one = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
     return sorted(repr(tuple(one(getattr(v, "item", lambda: v)()) for v in r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
 
 

@@ -327,6 +327,12 @@ def test_mixing(spark, none):
     got = mixing.mix(df, epochs=2).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("d")).collect()
     assert {r["source"]: r["n"] for r in got} == {"big": pytest.approx(4000, rel=0.1), None: pytest.approx(4000, rel=0.1)}
     assert mixing.mix(df, {"big": 0.0}).filter("source = 'big'").isEmpty() and mixing.mix(none).isEmpty()
+    # both ways to the rates agree; weights of 0 give nothing, negative ones are an error, and a large rate is met
+    assert keyed(mixing.mix(df, epochs=2), "copy") == keyed(mixing.mix(df, epochs=2, broadcast_sources=0), "copy")
+    one = spark.createDataFrame([(1, None, None, "a", 0, "x", ""), (None, "", None, "a", 0, "x", "")], SCHEMA)
+    assert mixing.mix(one, {"a": 0.0}).isEmpty() and mixing.mix(one, epochs=900.0).count() == pytest.approx(1800, rel=0.2)
+    with pytest.raises(ValueError, match="not negative"):
+        mixing.mix(one, {"a": -1.0})
     a, b = (mixing.mix(df).select("doc_id", "copy").collect() for _ in range(2))
     assert a == b and a != sorted(a) and mixing.mix(df.withColumn("copy", F.lit(7))).columns == [*SCHEMA_NAMES, "copy", "mix_rate"]
 
