@@ -1,14 +1,14 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-A line is normalised (lower case, without white space at its ends) and hashed. For each host
-the distinct texts that hold a line are counted; exact copies of a text count once. A line is
-*boilerplate* on its host when it stands in at least ``min_docs`` distinct texts and in more than
-``max_fraction`` of the host's rows. A document is rejected when it fails the base rules or when its
-boilerplate lines leave it less than ``min_left`` of its lines' characters (it is depleted).
-
-There are at most 1/max_fraction times the mean number of lines of a document in boilerplate lines
-a host, so they fit one array a host. Documents meet it by a salted join, as one host may hold a
-third of all rows.
+A line is normalised (lower case, runs of white space as one space, none at its ends) and hashed.
+For each host the distinct texts that hold a line are counted; exact copies of a text count once. A
+line is *boilerplate* on its host when it stands in more than ``max_docs`` distinct texts, however
+large the host is. A document is rejected when it fails the base rules or when its boilerplate lines
+leave it less than ``min_left`` of its lines' characters (it is depleted).
+
+The hashes of all lines are written once as a table of rows. Counts come from it by partial sums, and
+boilerplate lines meet it again by host and line with salted keys, as one host or line may hold a
+third of all rows; what a document loses is a list of its own lines' places, never a host's list.
 """
 
 from __future__ import annotations
@@ -16,10 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import WS, documents, salted_join
+from genoloom.llm.common import WS, documents, salted_join, stored
 
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\f\r"
 
 
 def words_of(text: Column) -> Column:
@@ -32,7 +31,7 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hash(line: Column) -> Column:
-    return F.xxhash64(F.lower(F.btrim(line, F.lit(BLANKS))))
+    return F.xxhash64(F.lower(F.btrim(F.regexp_replace(line, WS, " "))))
 
 
 def host_key(host: Column) -> Column:
@@ -50,7 +49,7 @@ def features(docs: DataFrame) -> DataFrame:
             "__joined": F.array_join("__words", ""),
             "__w5": F.when(F.size("__words") > 4, w5(F.col("__words"))).otherwise(F.array().cast("array<bigint>")),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
-            "__sized": F.transform("__lines", lambda x: F.struct(line_hash(x).alias("h"), F.length(x).alias("n"))),
+            "n_line_chars": F.aggregate("__lines", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)),
         }
     )
     out = out.withColumns(
@@ -84,44 +83,59 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
-def boilerplate(docs: DataFrame, min_docs: int, max_fraction: float) -> DataFrame:
-    """__host, __common: the hashes of each host's boilerplate lines. ``docs`` has __host and __text."""
-    rows = docs.select("__host", F.xxhash64("__text").alias("__content"), F.array_distinct(F.transform(lines_of(F.coalesce("__text", F.lit(""))), line_hash)).alias("__hashes"))
-    lines = rows.select("__host", "__content", F.explode("__hashes").alias("__line")).groupBy("__host", "__line").agg(F.countDistinct("__content").alias("__n"))
-    hosts = docs.groupBy("__host").agg(F.count(F.lit(1)).alias("__size"))
-    frequent = lines.filter(F.col("__n") >= min_docs).join(hosts, "__host").filter(F.col("__n") > max_fraction * F.col("__size"))
-    return frequent.groupBy("__host").agg(F.collect_list("__line").alias("__common"))
+def row_key(host: Column, id_: Column, text: Column) -> Column:
+    """Of a row's host, id and text: rows equal in all three have one fate."""
+    return F.xxhash64(host, F.coalesce(id_.cast("string"), F.lit("\x00")), text)
 
 
-def judged(docs: DataFrame, min_docs: int, max_fraction: float, min_left: float) -> DataFrame:
-    """``docs`` (__text, __host, ...) with the base counts, __left (the text without boilerplate lines), n_common_chars, kept."""
-    common = boilerplate(docs, min_docs, max_fraction)
-    hosts = docs.select("__host").distinct().join(common, "__host", "left")
-    out = salted_join(features(docs).withColumn("__pick", F.xxhash64("__text", "__id")), hosts, ["__host"], F.col("__pick"))
-    total = lambda sized: F.aggregate(sized, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    gone = F.filter("__sized", lambda x: F.array_contains(F.col("__common"), x["h"]))
-    out = out.withColumns({"n_line_chars": total(F.col("__sized")), "n_common_chars": F.when(F.col("__common").isNull(), F.lit(0).cast("bigint")).otherwise(total(gone))})
+def line_rows(docs: DataFrame) -> DataFrame:
+    """__host, __line (hash), __content (of the whole text), __key, __at (place among the text's lines), __n (characters): a row a line that holds a word."""
+    sized = F.transform(F.split("__text", "\n"), lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.struct(line_hash(x).alias("h"), F.length(x).alias("n"))))
+    rows = docs.select("__host", F.xxhash64("__text").alias("__content"), row_key(F.col("__host"), F.col("__id"), F.col("__text")).alias("__key"), F.posexplode(sized).alias("__at", "__x"))
+    return rows.filter("__x is not null").select("__host", F.col("__x.h").alias("__line"), "__content", "__key", "__at", F.col("__x.n").alias("__n"))
+
+
+def boilerplate(lines: DataFrame, max_docs: int) -> DataFrame:
+    """__host, __line of the lines that stand in more than ``max_docs`` distinct texts of a host."""
+    return lines.groupBy("__host", "__line").agg(F.countDistinct("__content").alias("__docs")).filter(F.col("__docs") > max_docs).select("__host", "__line")
+
+
+def judged(docs: DataFrame, max_docs: int, min_left: float) -> DataFrame:
+    """``docs`` (__text, __host, __id, ...) with the base counts, __gone (places of its boilerplate lines), n_common_chars, kept."""
+    docs = docs.withColumn("__text", F.coalesce("__text", F.lit("")))
+    lines = stored(line_rows(docs))
+    hit = salted_join(lines.select("__host", "__line", "__key", "__at", "__n"), boilerplate(lines, max_docs), ["__host", "__line"], F.col("__key"))
+    gone = hit.groupBy("__key").agg(F.collect_set(F.struct(F.col("__at").alias("i"), F.col("__n").alias("n"))).alias("__gone"))
+    gone = gone.select("__key", F.transform("__gone", lambda x: x["i"]).alias("__gone"), F.aggregate("__gone", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("__chars"))
+    out = features(docs.withColumn("__key", row_key(F.col("__host"), F.col("__id"), F.col("__text")))).join(gone, "__key", "left")
+    out = out.withColumn("n_common_chars", F.coalesce("__chars", F.lit(0).cast("bigint")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_line_chars") - F.col("n_common_chars") >= min_left * F.col("n_line_chars")))
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 20, max_fraction: float = 0.1, min_left: float = 0.3, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def quality_rules(docs: DataFrame, max_docs: int = 20, min_left: float = 0.3, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row a document: doc_id, the base counts, base_failed, n_common_chars, kept.
 
     Null text: no words, so base_failed. Null hosts form one host. Null and repeated ids are carried
     through, row for row; other columns are ignored; an empty table gives an empty result.
     """
     own = documents(docs, id_col, text_col, host=host_col).withColumn("__host", host_key(F.col("__host")))
-    return judged(own, min_docs, max_fraction, min_left).select(
+    return judged(own, max_docs, min_left).select(
         F.col("__id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_chars", "kept"
     )
 
 
-def clean(docs: DataFrame, min_docs: int = 20, max_fraction: float = 0.1, min_left: float = 0.3, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str = "n_chars") -> DataFrame:
-    """The kept documents, all their columns, their boilerplate lines removed and ``length_col`` (where there is one) set anew."""
+def clean(docs: DataFrame, max_docs: int = 20, min_left: float = 0.3, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str = "n_chars") -> DataFrame:
+    """The kept documents, all their columns, their boilerplate lines removed and ``length_col`` (where there is one) set anew.
+
+    Null and empty texts fail the base rules and go. Rows repeated in full are judged alike and all stay
+    or go; null hosts form one host; an empty table gives an empty result.
+    """
     own = docs.select(*(docs[c].alias(f"__in_{i}") for i, c in enumerate(docs.columns)), docs[id_col].alias("__id"), docs[text_col].alias("__text"), host_key(docs[host_col]).alias("__host"))
-    rows = judged(own, min_docs, max_fraction, min_left).filter(F.col("kept") & (F.col("__row") >= 0))
-    left = F.when(F.col("n_common_chars") == 0, F.col("__text")).otherwise(F.array_join(F.filter(F.split("__text", "\n"), lambda x: ~F.array_contains(F.col("__common"), line_hash(x))), "\n"))
-    rows = rows.withColumn("__left", left)
+    rows = judged(own, max_docs, min_left).filter(F.col("kept") & (F.col("__row") >= 0))
+    lines = F.split("__text", "\n")
+    # places that stay, in order: both steps are linear in the number of lines
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
+    rows = rows.withColumn("__left", F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(left, "\n")))
     new = {text_col: F.col("__left"), length_col: F.length("__left").cast("bigint")}
     return rows.select(*(new.get(c, F.col(f"__in_{i}")).alias(c) for i, c in enumerate(docs.columns)))
 
@@ -142,11 +156,10 @@ rep AS (
   SELECT rid, count(DISTINCT i + j) AS n FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM five), (SELECT unnest(range(5)) AS j)
   WHERE c > 1 GROUP BY rid),
 l AS (
-  SELECT rid, host, t, x, lower(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS line
+  SELECT rid, host, t, x, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line
   FROM (SELECT rid, host, t, unnest(ls) AS x FROM b)),
 f AS (
-  SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM l GROUP BY 1, 2)
-  JOIN (SELECT host, count(*) AS size FROM d GROUP BY 1) USING (host) WHERE n >= 20 AND n > 0.1 * size),
+  SELECT host, line FROM l GROUP BY 1, 2 HAVING count(DISTINCT t) > 20),
 gone AS (SELECT rid, sum(length(x)) AS n FROM l JOIN f USING (host, line) GROUP BY rid),
 a AS (SELECT rid, sum(length(x)) AS n FROM l GROUP BY rid)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,

@@ -310,14 +310,30 @@ def test_rules(spark, docs, none):
 
 def test_rules_remove_boilerplate(spark):
     line = "all rights reserved by the host of this page"
-    rows = [(i, f"{prose(20)}\n {line.upper()}\n{prose(20)}", None, "h", 0, "x", "") for i in range(30)] + [(100, "\n".join([line] * 1 + ["a b"]), None, "h", 0, "x", ""), (101, line + " " + prose(30), None, "h", 0, "x", "")]
+    spaced = line.replace(" ", "\t ").upper()  # white space and case don't tell lines apart
+    rows = [(i, f"{prose(20)}\n {spaced if i % 2 else line.upper()}\n{prose(20)}", None, "h", 0, "x", "") for i in range(30)] + [(100, "\n".join([line] * 1 + ["a b"]), None, "h", 0, "x", ""), (101, line + " " + prose(30), None, "h", 0, "x", "")]
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r["doc_id"]: r for r in rules.quality_rules(df).collect()}
-    assert all(got[i]["kept"] and got[i]["n_common_chars"] == len(line) + 1 for i in range(30)) and not got[100]["kept"] and got[101]["n_common_chars"] == 0
+    assert all(got[i]["kept"] and got[i]["n_common_chars"] == 1 + len(spaced if i % 2 else line) for i in range(30)) and not got[100]["kept"] and got[101]["n_common_chars"] == 0
     left = {r["doc_id"]: r for r in rules.clean(df).collect()}
     assert set(left) == {*range(30), 101} and all("RIGHTS" not in left[i]["text"] and left[i]["n_chars"] == len(left[i]["text"]) and left[i]["n_words"] == "x" for i in range(30))
 
 
+def test_line_limit_does_not_grow_with_the_host(spark, none):
+    """A line in 21 distinct texts goes on a host of any size; copies of a text count once, and other hosts are apart."""
+    line = "subscribe to our letter now"
+    text = [f"{prose(30)}\n{line}" for _ in range(21)]
+    big = [(i, t, None, "big", 0, "x", "") for i, t in enumerate(text)] + [(100 + i, prose(25), None, "big", 0, "x", "") for i in range(400)]
+    copies = [(1000 + i, text[0], None, "copies", 0, "x", "") for i in range(40)] + [(2000 + i, t, None, None, 0, "x", "") for i, t in enumerate(text[:20])]
+    twice = [(3000, f"{line}\n{prose(12)}\n{line}", None, "big", 0, "x", "")] * 3 + [(None, None, None, "big", 0, "x", "")] * 2
+    df = spark.createDataFrame(big + copies + twice, SCHEMA)
+    got = keyed(rules.quality_rules(df), "n_common_chars", "kept")
+    assert all(got[(i, len(line), True)] == 1 for i in range(21)) and all(got[(k, 0, True)] == 1 for k in [*range(1000, 1040), *range(2000, 2020), *range(100, 500)])
+    assert sum(n for (i, chars, _), n in got.items() if i == 3000 and chars == 2 * len(line)) == 3 and got[(None, 0, False)] == 2
+    left = Counter(r["text"].count(line) for r in rules.clean(df).filter("source = 'big'").collect())
+    assert set(left) == {0} and rules.clean(df).filter("source <> 'big' or source is null").count() == 60
+
+
 # mixing
 
 
