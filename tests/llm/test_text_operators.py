@@ -149,6 +149,59 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert got == {i: i if i < 48 else i - 12 for i in range(60)}
 
 
+def brute_classes(texts: list[str]) -> list[int]:
+    """The least index of each text's class, over all pairs: plain sets of (five words, how often so far), weighted by the sum of the words' IDF."""
+    rows = [words(re.sub("[A-Z]", lambda m: m[0].lower(), x)) for x in texts]
+    df = Counter(w for r in rows for w in set(r))
+    idf = {w: round(float(np.float32(np.log1p(len(rows) / n))) * 1024) for w, n in df.items()}
+    sets = []
+    for r in rows:
+        grams, seen, own = [tuple(r[i : i + 5]) for i in range(len(r) - 4)] or ([tuple(r)] if r else []), Counter(), {}
+        for g in grams:
+            own[(g, seen[g])] = sum(idf[w] for w in g)
+            seen[g] += 1
+        sets.append(own)
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = sum(v for k, v in a.items() if k in sets[j])
+            if texts[i] == texts[j] or (both and both / (sum(a.values()) + sum(sets[j].values()) - both) >= 0.8):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(texts))]
+
+
+def edited(base: list[str], n: int) -> str:
+    return " ".join(w if i not in set(RNG.choice(len(base), n, replace=False).tolist()) else f"e{RNG.integers(10**9)}" for i, w in enumerate(base))
+
+
+@pytest.mark.parametrize("tile", [icws.TILE, 7])
+def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, tile):
+    """Families of 60 near copies round a base that is there or not, texts round one passage, chains, ties and short texts."""
+    monkeypatch.setattr(icws, "TILE", tile)
+    texts: list[str] = []
+    for k, edits in enumerate((2, 4, 6)):
+        base = prose(220).split()
+        texts += ([" ".join(base)] if k % 2 else []) + [edited(base, int(RNG.integers(1, edits + 1))) for _ in range(60)]
+    passage = prose(120)
+    texts += [f"{passage} {prose(30)}" for _ in range(60)]
+    chain = prose(200).split()
+    for _ in range(8):
+        chain = edited(chain, 3).split()
+        texts.append(" ".join(chain))
+    texts += ["one two", "One TWO", "one", "a b c d", prose(5), "re " * 90, "re " * 100, texts[0], re.sub("[a-z]", lambda m: m[0].upper(), texts[0])]
+    df = spark.createDataFrame([(i, t, None, None, 0, "x", "") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in icws.near_duplicates(df).collect()}
+    want = brute_classes(texts)
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 70
+
+
 def test_consistent_samples_estimate_similarity():
     idf = common.HashTable(np.zeros(0, np.uint64), np.zeros(0), 1.0)
     a, b = prose(400), None
