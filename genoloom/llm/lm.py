@@ -4,9 +4,10 @@ Words are counted over all training documents. The most frequent ``vocabulary``
 their own; any other word is one of 32 *endings* (a class of its last two bytes), and its own
 probability given the ending is (c + 0.1) / (N + 0.1 (V + 1)) with the counts c, N and V of the
 training words of that ending. The model (``gru``) is started on the driver on ``seed_docs``
-documents, then trained on ``share`` of the training documents (all by default), each partition of
-the input by a task of its own; ``trainers`` tasks average the partitions' parameters by the tokens
-they have seen.
+documents, then trained on all training documents, each partition of the input by a task of its own
+(in the rows' order, so a retry gives the same model). The partitions' parameters, which are of a fixed
+size, are averaged by the tokens they have seen: first in as many tasks as a shuffle has, then in
+``mergers``, then on the driver, each in the order of the partitions.
 
 Scoring streams every whole text through the model, the state carried from window to window.
 Counts of the ``known`` most frequent words go with the tasks; the counts of all other words are
@@ -51,8 +52,8 @@ def texts_of(col: pa.Array, tokens: Tokens) -> list[np.ndarray]:
     return out
 
 
-def trained(docs: DataFrame, model: Gru, tokens: Tokens, share: float, trainers: int, batch_tokens: int = 400_000) -> Gru:
-    """``model`` after one pass over ``share`` of the documents, by a task a partition that starts from it; their mean by tokens seen."""
+def trained(docs: DataFrame, model: Gru, tokens: Tokens, mergers: int, lanes: int = 256, rate: float = 0.2, batch_tokens: int = 400_000) -> Gru:
+    """``model`` after one pass over the documents, by a task a partition that starts from it; their mean by tokens seen."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((pickle.dumps(model), tokens))
 
@@ -64,26 +65,28 @@ def trained(docs: DataFrame, model: Gru, tokens: Tokens, share: float, trainers:
                 waiting.append(x)
                 size += len(x) + 1
                 if size >= batch_tokens:
-                    seen += own.train(waiting)
+                    seen += own.train(waiting, lanes, rate=rate)
                     waiting, size = [], 0
         if waiting:
-            seen += own.train(waiting)
+            seen += own.train(waiting, max(1, min(lanes, size // 64)), rate=rate)  # no more lanes than there is text for
         if seen:
-            flat = np.concatenate([a.ravel() for a in own.p.values()])
+            flat = np.concatenate([a.ravel() for a in own.p.values()]).astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([seen])], names=["p", "n"])
 
     def merged(batches):
         total, seen = None, 0
         for batch in batches:
             for p, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(p, np.float32).astype(np.float64) * n
-                total, seen = own if total is None else total + own, seen + n
+                own = np.frombuffer(p, np.float64)  # parameters times tokens
+                total, seen = own.copy() if total is None else total + own, seen + n
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([seen])], names=["p", "n"])
 
-    part = docs if share >= 1 else docs.filter(F.pmod(F.xxhash64("__id", "__text", F.lit(29)), F.lit(1000)) < int(1000 * share))
     schema = "p binary, n bigint"
-    rows = part.select("__text").mapInArrow(run, schema).repartition(trainers).mapInArrow(merged, schema).collect()  # trainers times the fixed size of the model
+    rows = docs.select("__text").mapInArrow(run, schema).withColumn("k", F.spark_partition_id())
+    for n in (max(mergers, parallelism(spark)), mergers):
+        rows = rows.repartition(n, "k").sortWithinPartitions("k").select("p", "n").mapInArrow(merged, schema).withColumn("k", F.spark_partition_id())
+    rows = sorted(rows.collect(), key=lambda r: r[2])  # mergers times the fixed size of the model
     if rows:
         mean = sum(np.frombuffer(r[0], np.float64) for r in rows) / sum(r[1] for r in rows)
         at = 0
@@ -93,7 +96,7 @@ def trained(docs: DataFrame, model: Gru, tokens: Tokens, share: float, trainers:
     return model
 
 
-def score(docs: DataFrame, vocabulary: int = 2000, known: int = 65_536, seed_docs: int = 400, share: float = 1.0, trainers: int = 16, hidden: int = 16, folds: int = 10, test_fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocabulary: int = 2000, known: int = 65_536, seed_docs: int = 400, mergers: int = 16, hidden: int = 16, folds: int = 10, test_fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts are empty: one token, the end. Without training documents N is 0 and both scores are
@@ -120,7 +123,7 @@ def score(docs: DataFrame, vocabulary: int = 2000, known: int = 65_536, seed_doc
     seed = [r[0] for r in labelled(train, seed_docs, "__text").collect()]
     if seed:
         model.train(texts_of(pa.array(seed, pa.string()), tokens), lanes=32)
-        model = trained(train, model, tokens, share, min(trainers, parallelism(spark)))
+        model = trained(train, model, tokens, mergers)
     frequent, frequent_n, _ = most_frequent(counts, known)
     order = np.argsort(frequent)
     sent = spark.sparkContext.broadcast((model, tokens, HashTable(frequent[order], np.arange(len(order)), -1), frequent_n[order], np.log10(end_n + 0.1 * (end_v + 1))))  # sizes are parameters

@@ -295,7 +295,7 @@ def test_quality(spark, docs, none):
 
 
 def test_lm(spark, docs, none):
-    got = lm.score(docs, seed_docs=50, share=0.5)
+    got = lm.score(docs, seed_docs=50)
     lower = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
     tokens = [(i, words((t or "").translate(lower)) + ["\n"]) for i, t in TEXTS]
     held = [common_held(i) for i, _ in TEXTS]
@@ -305,6 +305,8 @@ def test_lm(spark, docs, none):
     rows = got.collect()
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows) == expected
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+    again = Counter((str(r["doc_id"]), r["score"]) for r in lm.score(docs, seed_docs=50).collect())
+    assert again == Counter((str(r["doc_id"]), r["score"]) for r in rows)
     assert lm.score(none).isEmpty()
 
 
