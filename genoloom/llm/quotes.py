@@ -5,21 +5,24 @@ are the message's own, but for an attribution ("... wrote:") right before a quot
 follow each other on one level are a passage. Passages and own texts are cut into sentences, so that
 re-wrapped lines still agree; a sentence is normalised (lower case, letters and digits only) and
 hashed. The original of a sentence is the first message of the same conversation that has it as its
-own, or else the first of all messages; sums and minima are taken before anything is joined, so a
-sentence that stands everywhere is one row. Sentences of all levels are linked (``originals``). A
+own, or else the first of all messages; if that one stands in the same conversation (later on), the
+first message of the last conversation that has it. Sums, minima and maxima are taken before anything
+is joined, so a sentence that stands everywhere is one row. Sentences of all levels are linked (``originals``). A
 message replies to the message most of its sentences of the shallowest linked level come from (the
-latest, if equal), or to the turn before it if it quotes nothing known.
+latest, if equal), or to the greatest smaller turn if it quotes nothing known; turns may have gaps.
 Threads and depths follow by pointer doubling. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.llm.common import salted_join, stored
 
 LEVEL = r"^((?:[ \t]*>)+)"
+#: Turns of a conversation that are put in order by one task at once, about.
+BLOCK = 1024
 ATTRIBUTION = r"(?i)(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t\r]*$"
 
 
@@ -76,15 +79,18 @@ def _votes(placed: DataFrame, kind: str) -> DataFrame:
     """__conv, turn, level, o (inside, conv_id, turn of an original), n: the distinct quoted sentences of each level by their originals."""
     said = placed.select("__conv", "conv_id", "turn", F.explode(sentences(F.col("own"))).alias("s"))
     here = said.groupBy("__conv", "s").agg(F.min("turn").alias("at"))
-    anywhere = said.groupBy("s").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    # the ends of the order of conversations: one of the two is another conversation, if any other has the sentence
+    anywhere = said.groupBy("s").agg(F.min(F.struct("conv_id", "turn")).alias("first"), F.max(F.struct("conv_id", (-F.col("turn")).alias("up"))).alias("last"))
     quoted = placed.filter(F.size("quoted") > 0).select("__conv", "turn", F.explode("quoted").alias("q"))
     quoted = quoted.select("__conv", "turn", F.col("q.level").alias("level"), F.explode(sentences(F.col("q.content"))).alias("s")).distinct()
     found = salted_join(quoted, here, ["__conv", "s"], F.col("turn"), "left").withColumn("at", F.when(F.col("at") < F.col("turn"), F.col("at")))
     found = salted_join(found, anywhere, ["s"], F.xxhash64("__conv", "turn"), "left")
     # a quote of another conversation: only where its own has no earlier message with the sentence
-    outside = F.col("first").isNotNull() & (F.coalesce(F.concat(F.lit("c"), F.col("first.conv_id").cast("string")), F.lit("n")) != F.col("__conv"))
+    named = lambda c: F.coalesce(F.concat(F.lit("c"), F.col(c).cast("string")), F.lit("n"))
+    other = F.when(named("first.conv_id") != F.col("__conv"), F.col("first")).when(named("last.conv_id") != F.col("__conv"), F.struct(F.col("last.conv_id").alias("conv_id"), (-F.col("last.up")).alias("turn")))
+    found = found.withColumn("other", F.when(F.col("first").isNotNull(), other))
     origin = F.when(F.col("at").isNotNull(), F.struct(F.lit(True).alias("inside"), F.lit(None).cast(kind).alias("conv_id"), F.col("at").alias("turn"))).when(
-        outside, F.struct(F.lit(False).alias("inside"), F.col("first.conv_id").alias("conv_id"), F.col("first.turn").alias("turn"))
+        F.col("other").isNotNull(), F.struct(F.lit(False).alias("inside"), F.col("other.conv_id").alias("conv_id"), F.col("other.turn").alias("turn"))
     )
     return found.select("__conv", "turn", "level", origin.alias("o")).filter("o is not null").groupBy("__conv", "turn", "level", "o").agg(F.count(F.lit(1)).alias("n"))
 
@@ -111,9 +117,7 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     placed = rows.filter(F.col("turn").isNotNull())
     votes = _votes(placed, dict(messages.dtypes)[conv])
     best = votes.groupBy("__conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("up"), "n", "o")).alias("b")).select("__conv", "turn", F.col("b.n").alias("n"), F.col("b.o").alias("o"))
-    nodes = placed.select("__conv", "turn").distinct()
-    before = nodes.select("__conv", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
-    parents = nodes.join(best, ["__conv", "turn"], "left").join(before, ["__conv", "turn"], "left")
+    parents = _preceded(placed.select("__conv", "turn").distinct()).join(best, ["__conv", "turn"], "left")
     tree = stored(
         parents.select(
             "__conv", "turn", "n", "o",
@@ -134,6 +138,19 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     )
 
 
+def _preceded(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (__conv, turn) with previous, the greatest smaller turn of the conversation.
+
+    Turns are looked at in blocks of ``BLOCK`` numbers, and then the blocks' last turns in order: a conversation
+    of very many messages is dealt to many tasks.
+    """
+    cut = F.floor(F.col("turn") / BLOCK)
+    within = nodes.withColumn("__block", cut).withColumn("inner", F.lag("turn").over(Window.partitionBy("__conv", "__block").orderBy("turn")))
+    tops = nodes.groupBy("__conv", cut.alias("__block")).agg(F.max("turn").alias("top"))
+    tops = tops.withColumn("before", F.lag("top").over(Window.partitionBy("__conv").orderBy("__block"))).select("__conv", "__block", "before")
+    return within.join(tops, ["__conv", "__block"]).select("__conv", "turn", F.coalesce("inner", "before").alias("previous"))
+
+
 def _rooted(tree: DataFrame) -> DataFrame:
     """top: the first message of the thread, depth: steps to it. Each round doubles the steps taken, for the messages that still move."""
     names = ["__conv", "turn", "n", "o", "up", "top", "depth"]
@@ -167,23 +184,25 @@ s AS (
   SELECT DISTINCT rid, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) AS s FROM (
     SELECT rid, unnest(regexp_split_to_array(regexp_replace(own, '[.!?]+(\s|$)', chr(1) || '\1', 'g'), chr(1))) AS x FROM o)),
 q AS (
-  SELECT DISTINCT c, turn, s FROM (
-    SELECT rid, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) AS s FROM (
-      SELECT rid, unnest(regexp_split_to_array(regexp_replace(content, '[.!?]+(\s|$)', chr(1) || '\1', 'g'), chr(1))) AS x FROM p WHERE level = 1))
+  SELECT DISTINCT c, turn, level, s FROM (
+    SELECT rid, level, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) AS s FROM (
+      SELECT rid, level, unnest(regexp_split_to_array(regexp_replace(content, '[.!?]+(\s|$)', chr(1) || '\1', 'g'), chr(1))) AS x FROM p))
   JOIN m USING (rid) WHERE s <> '' AND turn IS NOT NULL),
 said AS (SELECT c, conv_id, turn, s FROM s JOIN m USING (rid) WHERE s <> '' AND turn IS NOT NULL),
 h AS (SELECT c, s, min(turn) AS "at" FROM said GROUP BY 1, 2),
-w AS (SELECT s, conv_id AS fc, turn AS ft, c AS fk FROM said QUALIFY row_number() OVER (PARTITION BY s ORDER BY conv_id NULLS FIRST, turn) = 1),
+w1 AS (SELECT s, conv_id AS fc, turn AS ft, c AS fk FROM said QUALIFY row_number() OVER (PARTITION BY s ORDER BY conv_id NULLS FIRST, turn) = 1),
+w2 AS (SELECT s, conv_id AS lc, turn AS lt, c AS lk FROM said QUALIFY row_number() OVER (PARTITION BY s ORDER BY conv_id DESC NULLS LAST, turn) = 1),
 v AS (
-  SELECT c, turn, CASE WHEN h."at" < turn THEN true WHEN fk <> c THEN false END AS inside, CASE WHEN h."at" < turn THEN NULL ELSE fc END AS oc, CASE WHEN h."at" < turn THEN h."at" ELSE ft END AS ot
-  FROM q LEFT JOIN h USING (c, s) LEFT JOIN w USING (s) WHERE coalesce(h."at" < turn, false) OR fk <> c),
+  SELECT c, turn, level, CASE WHEN h."at" < turn THEN true ELSE false END AS inside,
+         CASE WHEN h."at" < turn THEN NULL WHEN fk <> c THEN fc ELSE lc END AS oc, CASE WHEN h."at" < turn THEN h."at" WHEN fk <> c THEN ft ELSE lt END AS ot
+  FROM q LEFT JOIN h USING (c, s) LEFT JOIN w1 USING (s) LEFT JOIN w2 USING (s) WHERE coalesce(h."at" < turn, false) OR fk <> c OR lk <> c),
 b AS (
-  SELECT * FROM (SELECT c, turn, inside, oc, ot, count(*) AS n FROM v GROUP BY c, turn, inside, oc, ot)
-  QUALIFY row_number() OVER (PARTITION BY c, turn ORDER BY n DESC, inside DESC, oc DESC NULLS LAST, ot DESC) = 1),
+  SELECT * FROM (SELECT c, turn, level, inside, oc, ot, count(*) AS n FROM v GROUP BY c, turn, level, inside, oc, ot)
+  QUALIFY row_number() OVER (PARTITION BY c, turn ORDER BY level, n DESC, inside DESC, oc DESC NULLS LAST, ot DESC) = 1),
 nodes AS (SELECT DISTINCT c, turn FROM m WHERE turn IS NOT NULL),
 e AS (
-  SELECT nodes.c, nodes.turn, n, inside, oc, ot, CASE WHEN inside IS NULL THEN z.turn WHEN inside THEN ot END AS up
-  FROM nodes LEFT JOIN b USING (c, turn) LEFT JOIN nodes z ON z.c = nodes.c AND z.turn + 1 = nodes.turn),
+  SELECT z.c, z.turn, n, inside, oc, ot, CASE WHEN inside IS NULL THEN z.previous WHEN inside THEN ot END AS up
+  FROM (SELECT c, turn, lag(turn) OVER (PARTITION BY c ORDER BY turn) AS previous FROM nodes) z LEFT JOIN b USING (c, turn)),
 r AS (
   SELECT c, turn, turn AS top, 0 AS depth FROM e WHERE up IS NULL
   UNION ALL SELECT e.c, e.turn, r.top, r.depth + 1 FROM e JOIN r ON e.c = r.c AND e.up = r.turn),
