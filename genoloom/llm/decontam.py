@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Items and documents are lower-cased words without ASCII punctuation; a shingle is five words, weighted by its inverse
-frequency over the items. For each size of item, the document windows of that size get a 64-bit
+frequency over all items of the benchmark. For each size of item, the document windows of that size get a 64-bit
 SimHash of their weighted shingles. Items are found by a multi-index: the 64 bits are cut into
 ``BLOCKS`` parts, and fingerprints within ``RADIUS`` of each other differ in at most
 RADIUS // BLOCKS bits in some part, so looking all such neighbours of a part up finds all of them.
@@ -10,8 +10,9 @@ Candidates within the radius are verified by their exact weighted Jaccard simila
 Windows are only fingerprinted where they hold a shingle of an item of their size: any other
 window has similarity 0 with every such item, so none is lost.
 
-The benchmark is taken in blocks of at most ``block_chars`` characters; one block is sent to the
-workers at a time, and weights are those of its block.
+The benchmark is taken in blocks of about ``block_chars`` characters; one block is sent to the workers
+at a time, with the frequencies that its own shingles have in the whole benchmark, so results do not
+depend on the blocks. Items equal in id and text are one item.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import Words, chunks, documents, grams, map_arrow
+from genoloom.llm.common import Words, chunks, documents, grams, map_arrow, signed, stored
 
 SHINGLE = 5
 RADIUS = 17
@@ -50,13 +51,10 @@ def packed(sums: np.ndarray) -> np.ndarray:
 class Index:
     """Items of one block: their shingles, fingerprints and the multi-index."""
 
-    def __init__(self, texts: list[str], threshold: float):
+    def __init__(self, texts: list[str], threshold: float, n_items: int | None = None, df: dict[int, int] | None = None):
+        """``n_items`` and ``df``: how many items of five words or more the benchmark has, and how many of them hold a shingle; by default those of ``texts``."""
         self.threshold = threshold
-        arr = pa.array([x or "" for x in texts], pa.string())
-        self.words: list[np.ndarray] = []
-        for _, _, data, bounds in chunks(pc.utf8_lower(arr)):
-            w = Words(data, bounds, lower=True, marks=True)
-            self.words += [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+        self.words = item_words(pa.array([x or "" for x in texts], pa.string()))
         self.size = np.array([len(h) for h in self.words], np.int64)
         #: items shorter than a shingle are one shingle each: similar only if equal
         self.short = {n: {} for n in range(1, SHINGLE)}
@@ -65,10 +63,12 @@ class Index:
                 self.short[len(h)].setdefault(int(grams(h, len(h))[0]), []).append(i)
         long = np.flatnonzero(self.size >= SHINGLE)
         sets = {int(i): np.unique(grams(self.words[i], SHINGLE), return_counts=True) for i in long}
-        self.shingles, df = np.unique(np.concatenate([s for s, _ in sets.values()]) if sets else np.zeros(0, np.uint64), return_counts=True)
+        self.shingles, own = np.unique(np.concatenate([s for s, _ in sets.values()]) if sets else np.zeros(0, np.uint64), return_counts=True)
+        times = own if df is None else np.array([df[x] for x in self.shingles.tolist()], np.int64)
+        total = len(sets) if n_items is None else n_items
         #: whole numbers, so that sums don't depend on their order
-        self.weight = np.round(16 * np.log1p(len(sets) / np.maximum(df, 1))).astype(np.int32)
-        self.default = np.int32(round(16 * np.log1p(max(1, len(sets)))))
+        self.weight = np.round(16 * np.log1p(total / np.maximum(times, 1))).astype(np.int32)
+        self.default = np.int32(round(16 * np.log1p(max(1, total))))
         self.sets = {i: (s, n, self.weights(s) * n) for i, (s, n) in sets.items()}
         self.items = long
         self.fp = np.zeros(len(long), np.uint64)
@@ -171,13 +171,35 @@ class Index:
                         best[(d, item)] = found
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list]:
-    """The items, block by block; each block fits the driver and a broadcast."""
-    items = benchmark.select(benchmark[item_col].alias("i"), benchmark[text_col].alias("t")).filter(F.col("t").isNotNull())
+def item_words(texts: pa.Array) -> list[np.ndarray]:
+    """The word hashes of each item."""
+    out: list[np.ndarray] = []
+    for _, _, data, bounds in chunks(pc.utf8_lower(texts)):
+        w = Words(data, bounds, lower=True, marks=True)
+        out += [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+    return out
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[tuple]:
+    """(ids, texts, items of the whole benchmark, how many of them hold each shingle of the block), block by block; each fits the driver and a broadcast."""
+    items = benchmark.select(benchmark[item_col].alias("i"), benchmark[text_col].alias("t")).filter(F.col("t").isNotNull()).distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = int(total // block_chars) + 1
+    items = items.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int"))
+
+    def cut(batch: pa.RecordBatch):
+        sets = [np.unique(grams(h, SHINGLE)) for h in item_words(batch.column("t"))]
+        size = np.array([len(s) for s in sets], np.int64)
+        first = np.zeros(size.sum(), np.int64)
+        first[(np.cumsum(size) - size)[size > 0]] = 1
+        yield {"k": np.repeat(batch.column("k").to_numpy(), size), "h": signed(np.concatenate(sets)), "first": first}
+
+    rows = stored(map_arrow(items.select("k", "t"), cut, "k int, h bigint, first bigint"))
+    n_items = rows.agg(F.sum("first")).first()[0] or 0
+    counts = stored(rows.select("k", "h").distinct().join(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h"))
     for k in range(n):
-        yield items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
+        own, df = items.filter(F.col("k") == k).orderBy("i", "t").collect(), counts.filter(F.col("k") == k).toArrow()
+        yield [r["i"] for r in own], [r["t"] for r in own], n_items, dict(zip(df.column("h").to_numpy().view(np.uint64).tolist(), df.column("n").to_pylist(), strict=True))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -192,8 +214,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}"
     schema = f"{kinds}, start_word bigint, n_words bigint, similarity double, distance int"
     out = None
-    for rows in blocks(benchmark, item_col, item_text_col, block_chars):
-        items = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))  # block_chars at most
+    for block in blocks(benchmark, item_col, item_text_col, block_chars):
+        items = spark.sparkContext.broadcast(block)  # block_chars, about
         found = map_arrow(own, _finder(items, threshold, benchmark.schema[item_col].dataType), schema)
         out = found if out is None else out.unionByName(found)
     return out
@@ -204,7 +226,7 @@ def _finder(items, threshold: float, item_type):
 
     def find(batch: pa.RecordBatch):
         if not index:
-            index.append(Index(items.value[1], threshold))
+            index.append(Index(items.value[1], threshold, *items.value[2:]))
         rows, found = [], []
         for i, _, data, bounds in chunks(pc.utf8_lower(batch.column("__text"))):
             for d, *match in index[0].matches(Words(data, bounds, lower=True, marks=True)):
@@ -227,10 +249,14 @@ def _finder(items, threshold: float, item_type):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block_chars: int = 4_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents that hold no item, with all their columns; rows are dropped where they are read, without a join."""
+    """The documents that hold no item, with all their columns; rows are dropped where they are read, without a join.
+
+    Null and empty texts hold nothing and stay; rows repeated in full are judged row for row; null ids and any
+    other columns are carried through; without items all documents stay; an empty table gives an empty result.
+    """
     out = docs
-    for rows in blocks(benchmark, item_col, item_text_col, block_chars):
-        items = docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+    for block in blocks(benchmark, item_col, item_text_col, block_chars):
+        items = docs.sparkSession.sparkContext.broadcast(block)
         out = out.mapInArrow(_keeper(items, threshold, docs.columns.index(text_col)), docs.schema)
     return out
 
@@ -239,7 +265,7 @@ def _keeper(items, threshold: float, text_at: int):
     def keep(batches):
         index = None
         for batch in batches:
-            index = index or Index(items.value[1], threshold)
+            index = index or Index(items.value[1], threshold, *items.value[2:])
             clean = np.ones(batch.num_rows, bool)
             for i, _, data, bounds in chunks(pc.utf8_lower(batch.column(text_at))):
                 for d, *_ in index.matches(Words(data, bounds, lower=True, marks=True)):
