@@ -4,7 +4,7 @@ Every window of ``window`` words has an *anchor*: the least hash among its 8-gra
 equal). Equal windows have equal anchors, so only windows whose anchor occurs twice or more can be
 repeated, and all places a window can match have the same anchor. That deals the text into shards:
 a shard holds whole anchors, and for each occurrence the piece of text its windows cover. Each
-shard gets a compressed FM-index (``fmindex``), and the pieces are streamed through it: backward
+shard gets a compressed FM-index (``fmindex``, a wavelet matrix), and the pieces are streamed through it: backward
 search gives, for each window's end, how many words before it occur at least twice in the shard
 (equal pieces are stored once, with a weight). Windows whose statistic reaches the threshold are
 reported.
@@ -66,8 +66,8 @@ def _occurrences(docs: DataFrame, window: int) -> DataFrame:
 def _pieces(texts: DataFrame, window: int) -> DataFrame:
     """The pieces of text at repeated anchors. ``texts``: t, text, cold and hot (the anchors' hashes).
 
-    A cold anchor gives anchor, t, start, n (windows) and the piece's words as 32 bits of each hash
-    (its 8-gram is known to be equal by 64 bits); a hot one the hashes of its windows, and of all of them.
+    A cold anchor gives anchor, t, start, n (windows) and the piece's words as 64-bit hashes; a hot one the
+    hashes of its windows, and of all of them.
     """
 
     def cut(batch: pa.RecordBatch):
@@ -78,7 +78,6 @@ def _pieces(texts: DataFrame, window: int) -> DataFrame:
             w = Words(data, bounds)
             g, starts, at = anchors(w, window)
             first = w.first
-            low = (w.hash >> np.uint64(32)).astype(np.uint32)
             full = grams(w.hash, window)
             cut_at = np.searchsorted(starts, first)
             for d in range(j - i):
@@ -96,7 +95,7 @@ def _pieces(texts: DataFrame, window: int) -> DataFrame:
                     out["t"].append(int(t[i + d]))
                     out["start"].append(int(s[b] - first[d]))
                     out["n"].append(int(e - b))
-                    out["words"].append(low[s[b] : s[b] + (e - b) + window - 1].tobytes() if is_cold[b] else None)
+                    out["words"].append(w.hash[s[b] : s[b] + (e - b) + window - 1].tobytes() if is_cold[b] else None)
                     windows = full[s[b] : s[b] + (e - b)].view(np.int64) if is_hot[b] else None
                     out["windows"].append(windows)
                     out["piece"].append(int(grams(windows.view(np.uint64), len(windows))[0].view(np.int64)) if is_hot[b] else None)
@@ -108,7 +107,7 @@ def _pieces(texts: DataFrame, window: int) -> DataFrame:
 
 def search(pieces: list[tuple[bytes, int]], window: int) -> list[np.ndarray]:
     """For distinct (words, weight): which of its windows occur twice or more among all of them."""
-    words = [np.frombuffer(p, np.uint32).astype(np.uint64) for p, _ in pieces]
+    words = [np.frombuffer(p, np.uint64) for p, _ in pieces]
     size = np.array([len(x) for x in words])
     bounds = np.concatenate([[0], np.cumsum(size)])
     weight = np.array([n for _, n in pieces])
@@ -157,7 +156,7 @@ def _searched(pieces: DataFrame, window: int, shard_words: int) -> DataFrame:
                     size = 0
                 places = shard.setdefault((anchor, words), [])
                 if not places:
-                    size += len(words) // 4
+                    size += len(words) // 8
                 places.append((t, start))
                 last = anchor
         if shard:
@@ -172,7 +171,7 @@ def _tables(docs: DataFrame, window: int, hot: int, shard_words: int, id_col: st
     """(rows: __id, __t, __text; copies: t, m, id; found: t, text, ranges of repeated windows)."""
     own = documents(docs, id_col, text_col).withColumn("__text", F.coalesce("__text", F.lit(""))).withColumn("__t", F.xxhash64("__text"))
     copies = own.groupBy("__t").agg(F.count(F.lit(1)).alias("m"), F.min("__id").alias("id")).withColumnRenamed("__t", "t")
-    places = _occurrences(own, window)
+    places = stored(_occurrences(own, window))
     repeated = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     # joined by another expression than they are counted by: both sides are dealt anew, and a hot anchor's side can be split
     turn = lambda c: F.col(c).bitwiseXOR(F.lit(0x5DEECE66D))
@@ -253,7 +252,12 @@ def substring_dedup(docs: DataFrame, window: int = 35, hot: int = 1000, shard_wo
 
 
 def cut_repeats(docs: DataFrame, window: int = 35, hot: int = 1000, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """The documents with all their columns, repeated words cut out of their texts; a document with no word left goes."""
+    """The documents with all their columns, repeated words cut out of their texts; a document with no word left goes.
+
+    So null and empty texts go, and so do rows of equal text that have a window's words or more. Null ids and
+    any other columns are carried through; ``length_col``, where there is one, is set anew; an empty table gives
+    an empty result.
+    """
     own, copies, found = _tables(docs, window, hot, shard_words, id_col, text_col)
 
     def remove(batch: pa.RecordBatch):
