@@ -5,7 +5,9 @@ non-space into a space: a text's token count is the sum over its *pre-tokens*, e
 spaces and the characters up to the next space. Every partition keeps a dictionary of
 pre-token -> number of pieces (cleared when it reaches ``dictionary_size`` entries, which costs
 time and no correctness); a document's pre-token frequencies are joined to it and summed. Ids
-are never made for a document and nothing is shuffled, so no key can be hot.
+are never made for a document and nothing is shuffled, so no key can be hot. A text that holds the
+space mark U+2581 itself is one pre-token: the library takes the mark for a space in some places
+only, so such a text is counted as a whole.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from genoloom.llm.common import documents, map_arrow
 
+MARK = "\u2581"
 _PRE = re.compile(r" +[^ ]*")
 
 
@@ -48,6 +51,8 @@ class PieceCounts:
         self.space = len(self.processor.encode("a ")) - len(self.processor.encode("a"))
 
     def count(self, text: str) -> int:
+        if MARK in text:
+            return len(self.processor.encode(text, num_threads=1))
         frequency = Counter(pre_tokens(text))
         known = self.known
         new = [x for x in frequency if x not in known]
