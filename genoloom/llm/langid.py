@@ -126,10 +126,11 @@ def logits(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, sample_docs: int, *columns: str) -> DataFrame:
-    """About ``sample_docs`` of the rows, and never more, chosen by a hash of id and text."""
+    """About ``sample_docs`` of the rows, and never more, chosen and ordered by a hash of id and text, so that a fit can be repeated."""
     n = docs.count()
     share = min(1.0, 1.25 * sample_docs / max(n, 1))
-    return docs.filter(F.pmod(F.xxhash64("__id", "__text", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select(*columns).limit(sample_docs)
+    key = F.xxhash64("__id", "__text", F.lit(3))
+    return docs.filter(F.pmod(key, F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(key, "__id", "__text").limit(sample_docs).select(*columns)
 
 
 def predict(docs: DataFrame, sample_docs: int = 3000, folds: int = 4, test_fold: int = 2, precision: float = 0.99, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:

@@ -140,7 +140,8 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def score(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, threshold: float = 0.7, folds: int = 4, test_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted.
 
-    ``sample_docs`` bounds the labelled rows the model is fitted on, none of them of the test fold; an
+    ``sample_docs`` bounds the labelled ids the model is fitted on, none of them of the test fold, and twice as
+    many rows their documents, should ids repeat; both are chosen and ordered by a hash. An
     id labelled more than once counts with its largest label, null labels and ids teach nothing.
     Null texts are scored as empty ones. Null and repeated ids are carried through, row for row;
     other columns are ignored; an empty table gives an empty result.
@@ -150,7 +151,8 @@ def score(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, threshold
     marked = labels.filter(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("__id")).agg(F.max(label_col).alias("__label"))
     marked = marked.filter(bucket("__id", folds) != test_fold).withColumn("__text", F.lit(""))
     chosen = labelled(marked, sample_docs, "__id", "__label")
-    rows = own.select("__id", "__text").join(F.broadcast(chosen), "__id").select("__text", "__label").limit(2 * sample_docs).collect()  # chosen: sample_docs rows at most
+    found = own.select("__id", "__text").join(F.broadcast(chosen), "__id")  # chosen: sample_docs rows at most
+    rows = found.orderBy(F.xxhash64("__id", "__text"), "__text").limit(2 * sample_docs).select("__text", "__label").collect()
     texts = pa.array([r[0] for r in rows], pa.string())
     model = spark.sparkContext.broadcast(fit(list(indicator_rows(texts)), [int(r[1]) for r in rows]))
 

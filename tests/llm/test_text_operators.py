@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genoloom.llm import common, decontam, icws, langid, lm, mixing, quality, quotes, rules, substring, tokcount
-from genoloom.llm.fmindex import FMIndex
+from genoloom.llm.fmindex import FMIndex, WaveletMatrix
 from genoloom.llm.gru import Gru
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, score string"
@@ -441,3 +441,80 @@ def test_nested_quotes(spark):
     assert (got[3], got[4], got[5]) == ((0, 1, 1), (1, 1, 2), (1, 1, 2))
     levels = {tuple(r) for r in quotes.originals(df).collect()}
     assert levels == {(1, 3, 2, 1, 0, 1), (1, 4, 1, 1, 1, 1), (1, 4, 2, 1, 0, 2), (1, 5, 3, 1, 1, 1)}
+
+
+QUOTE_ROWS = [
+    (1, 2, "> The plan stands in two places.\nYes."), (1, 5, "The plan stands in two places."), (2, 0, "The plan stands in two places."),  # its own conversation has it later only
+    (3, 0, "It begins."), (3, 1, "It goes on."), (3, 2, "And on."), (3, 4, "After a gap."), (3, 5000, "After a long gap."), (3, 5001, ">> It begins.\nDeep."),
+    (4, 0, "> The plan stands in two places.\n>> It begins.\n>> It goes on.\nBoth levels."), (4, 1, None), (None, 0, "> Nothing known.\nx"),
+]
+
+
+def test_quotes_by_two_conversations_and_over_gaps(spark):
+    import duckdb
+
+    df = spark.createDataFrame([(c, t, "a", x) for c, t, x in QUOTE_ROWS], "conv_id bigint, turn bigint, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"], r["n_linked"], r["thread"], r["depth"]) for r in quotes.link(df).collect()}
+    assert got[1, 2] == (2, 0, 1, 2, 0) and got[3, 4] == (3, 2, 0, 0, 3) and got[3, 5000] == (3, 4, 0, 0, 4)
+    assert got[3, 5001] == (3, 0, 1, 0, 1) and got[4, 0] == (1, 5, 1, 0, 0) and got[4, 1] == (4, 0, 0, 0, 1)
+    conversations = df.toPandas()  # noqa: F841
+    names = ["conv_id", "turn", "parent_conv", "parent_turn", "n_linked", "n_passages", "max_level", "thread", "depth", "text"]
+    want = duckdb.connect().execute(f"SELECT {', '.join(names)} FROM ({quotes.OP2_SQL})").fetchall()
+    assert Counter(want) == Counter(tuple(r) for r in quotes.link(df).select(names).collect())
+
+
+def test_token_counts_of_random_texts():
+    P = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    sp, counts = sentencepiece.SentencePieceProcessor(model_proto=model), tokcount.PieceCounts(model, 500)
+    parts = ["\u2581", " ", "  ", "\t", "\n", "\0", "a", "the", "The", "é", "中", "<s>", "</s>", "<unk>", "<0x41>", "\u00a0", "\u3000", "😀", "ing", ".", "1"]
+    for _ in range(6000):
+        text = "".join(RNG.choice(parts, RNG.integers(0, 9)))
+        assert counts.count(text) == len(sp.encode(text)), repr(text)
+
+
+def test_wavelet_matrix_ranks():
+    seq = RNG.zipf(1.4, 3000) % 700
+    tree = WaveletMatrix(seq, 701)
+    symbol, lo, hi = seq[:400], RNG.integers(0, 3000, 400), RNG.integers(0, 3001, 400)
+    a, b = tree.rank2(symbol, lo, hi)
+    shift = tree.offsets()[symbol]
+    for k, s in enumerate(symbol):
+        assert (a[k] - shift[k], b[k] - shift[k]) == ((seq[: lo[k]] == s).sum(), (seq[: hi[k]] == s).sum())
+    assert tree.nbytes * 8 / len(seq) < 1.5 * tree.n_levels
+
+
+def test_decontamination_does_not_depend_on_blocks_and_keeps_windows(spark):
+    """Items edited in documents: all windows of similarity 0.8 or more by plain counting are found, however the benchmark is cut."""
+    items = [prose(int(n)) for n in RNG.integers(12, 90, 60)]
+    items += [items[0] + " " + prose(3)]
+    texts = []
+    for k, x in enumerate(items * 3):
+        w = x.split()
+        for at in RNG.choice(len(w), int(RNG.integers(0, 1 + len(w) // 25)), replace=False):
+            w[at] = f"x{RNG.integers(10**6)}"
+        texts.append(f"{prose(20)} {' '.join(w)} {prose(20)}")
+    df = spark.createDataFrame([(i, t, None, None, 0, "x", "") for i, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame([*enumerate(items), (0, items[0])], "item_id int, text string")
+    runs = [{(r["doc_id"], r["item_id"], r["start_word"], round(r["similarity"], 12)) for r in decontam.contaminated(df, bench, block_chars=n).collect()} for n in (10**7, 3000)]
+    assert runs[0] == runs[1]
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    shingles = [grams(x.split()) for x in items]
+    df_of = Counter(g for s in shingles for g in s)
+    weigh = lambda g: round(16 * math.log1p(len(items) / max(df_of[g], 1))) if g in df_of else round(16 * math.log1p(len(items)))
+    want = {}
+    for d, t in enumerate(texts):
+        w = t.split()
+        for i, s in enumerate(shingles):
+            size = len(items[i].split())
+            for p in range(len(w) - size + 1):
+                own = grams(w[p : p + size])
+                if both := sum(weigh(g) * min(n, s[g]) for g, n in own.items() if g in s):
+                    similar = both / (sum(weigh(g) * n for g, n in s.items()) + sum(weigh(g) * n for g, n in own.items()) - both)
+                    if similar >= 0.8:
+                        want[d, i] = max(want.get((d, i), 0), similar)
+    found = {(d, i) for d, i, _, _ in runs[0]}
+    assert found <= set(want) and len(found) >= 0.97 * len(want) and len(want) > 100
