@@ -52,7 +52,7 @@ def texts_of(col: pa.Array, tokens: Tokens) -> list[np.ndarray]:
     return out
 
 
-def trained(docs: DataFrame, model: Gru, tokens: Tokens, mergers: int, lanes: int = 256, rate: float = 0.2, batch_tokens: int = 400_000) -> Gru:
+def trained(docs: DataFrame, model: Gru, tokens: Tokens, mergers: int, lanes: int = 512, rate: float = 0.3, batch_tokens: int = 400_000) -> Gru:
     """``model`` after one pass over the documents, by a task a partition that starts from it; their mean by tokens seen."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((pickle.dumps(model), tokens))
