@@ -8,6 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from genoloom.plans import round_trips  # noqa: F401  adds queries
 from genoloom.plans.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
