@@ -176,24 +176,12 @@ def salted_join(big: DataFrame, small: DataFrame, key: list[str], spread: Column
     return big.join(need.join(small, key, "inner"), [*key, "__salt"], how).drop("__salt")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that the cluster names."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="genoloom-checkpoint-")  # only where the session names none, as in local tests
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines see; one of this machine only where the session names none (local tests)."""
+    """The folder that all machines see; one of this machine only where the session names none and the master is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="genoloom-")
