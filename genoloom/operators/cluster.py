@@ -24,6 +24,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not folder:
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="genoloom-checkpoint-")
