@@ -116,6 +116,14 @@ def test_reads_tools(spark, tmp_path, cells_file):
     assert len(open(tmp_path / "m.txt").read().split()) == 7
 
 
+def test_reads_by_intervals(spark, tmp_path, cells_file):
+    sam, bed = put(tmp_path / "x.sam", SAM + SAM.splitlines()[1].replace("\tc1\t1\t", "\tc1\t500\t") + "\n"), put(tmp_path / "r.bed", "c1\t3\t6\nc1\t8\t12\n")
+    reference = put(tmp_path / "r.fa", ">c1\n" + "A" * 600 + "\n")
+    assert rows(tools.CellReads(sam, str(tmp_path / "cr"), "SM", bed).run(spark)) == [("nobody", 1, 1), ("s1", 3, 3), ("s2", 1, 2)]
+    caller = tools.CellVariantcaller(sam, reference, cells_file, None, "SM", "UB", cutoffs=variants.Cutoffs(min_total_depth=2), intervals=bed)
+    assert [r["pos"] for r in caller.calls(spark)[0].collect()] == [5]
+
+
 def test_arguments():
     tool = cli.parsed(tools.CalculateDistance, ["--input", "x", "--output", "y", "--correct-cells", "z", "--additional-methods", "chi2", "--additional-methods", "pow2", "--write-scatters"])
     assert (tool.method, tool.additional_methods, tool.write_scatters, tool.min_allele_coverage) == ("pow4", ("chi2", "pow2"), True, 5)

@@ -231,3 +231,20 @@ def test_registered_recluster_runs_to_the_end(spark, monkeypatch, name):
     if name == "recluster":
         short, gone = brute_recluster(d, {r[0]: r[1] for r in start.collect()}, {r[0] for r in trash.collect()}, 3, 3)
         assert (short, gone) != (want, left)  # three iterations give something else
+
+
+def test_reads_without_a_umi_count_by_their_duplicate_flag(spark):
+    data = [(1, 0, 0, True, d, u, k) for k, (d, u) in enumerate([(False, None), (False, None), (True, None), (False, "A"), (False, "A"), (True, "B")])]
+    got = R.pileup_umi(spark.createDataFrame(data, "site int, cell int, allele int, forward boolean, dup boolean, umi string, ord int"), ["ord"]).first()
+    assert (got["f_umi"], got["f_reads"]) == (4, 6)  # two plain reads, A and B
+
+
+def test_overlapping_keeps_reads_row_for_row(spark):
+    """Reads with maps, true repeats, reads over several regions and bins, ends that touch, regions that touch or are empty."""
+    places = [("c", 5, 14), ("c", 5, 14), ("c", 95, 320), ("c", 11, 20), ("c", 10, 10), ("c", 41, 50), ("d", 5, 14), (None, 1, 2), ("c", 200, 205)]
+    reads = spark.createDataFrame([(c, s, e, {"CB": "x"}) for c, s, e in places], "contig string, start bigint, end bigint, tags map<string,string>")
+    regions = spark.createDataFrame([("c", 8, 10), ("c", 100, 110), ("c", 110, 115), ("c", 300, 301), ("c", 45, 45), ("d", 20, 30)], "contig string, start bigint, end bigint")
+    for size in (7, 100, 10**6):
+        assert sorted(tuple(r)[:3] for r in R.overlapping(reads, regions, size).collect()) == [("c", 5, 14), ("c", 5, 14), ("c", 10, 10), ("c", 95, 320)]
+    points = spark.createDataFrame([("c", p) for p in (8, 9, 10, 11, 100, 101, 115, 116)], "contig string, pos bigint")
+    assert [r["pos"] for r in R.covered_positions(points, regions).orderBy("pos").collect()] == [9, 10, 101, 115]
