@@ -12,7 +12,7 @@ from genoloom.operators import groups, matrix, merge
 from genoloom.operators import reads as R
 from genoloom.plans import adapter as A
 from genoloom.plans.queries import _dist, _distance, query
-from genoloom.sources import sinks, text, vcf
+from genoloom.sources import bam, sinks, text, vcf
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -133,15 +133,25 @@ def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    f"SELECT {_NAME} AS name, l_returnflag AS contig, l_orderkey * 3 + 1 AS pos, l_orderkey * 3 + 12 AS \"end\", l_linestatus = 'O' AS forward, l_linenumber > 4 AS dup, 'b' || l_suppkey AS cb, 'u' || l_partkey AS ub, 'ACGTACGTAC' AS seq FROM lineitem",
-    prelude=False,
-)
+_READS = f"SELECT {_NAME} AS name, l_returnflag AS contig, l_orderkey * 3 + 1 AS pos, l_orderkey * 3 + 12 AS \"end\", l_linestatus = 'O' AS forward, l_linenumber > 4 AS dup, 'b' || l_suppkey AS cb, 'u' || l_partkey AS ub, 'ACGTACGTAC' AS seq FROM lineitem"
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    return rows.select("name", "contig", "pos", "end", "forward", "dup", F.col("tags")["CB"].alias("cb"), F.col("tags")["UB"].alias("ub"), "seq")
+
+
+@query(_READS, prelude=False)
 def io_sam(spark, sf_dir):
     path = _scratch(spark)
     sinks.sam(merge.coordinate_sorted(_aligned(spark, sf_dir), rank="contig", ties=("name",)), path, ["@HD\tVN:1.6"])
-    rows = text.sam(spark, path)
-    return rows.select("name", "contig", "pos", "end", "forward", "dup", F.col("tags")["CB"].alias("cb"), F.col("tags")["UB"].alias("ub"), "seq")
+    return _read(text.sam(spark, path))
+
+
+@query(_READS, prelude=False)
+def io_bam(spark, sf_dir):
+    path = f"{_scratch(spark)}.bam"
+    bam.write(merge.coordinate_sorted(_aligned(spark, sf_dir), rank="contig", ties=("name",)), path, [(c, 1 << 29) for c in ("A", "N", "R")])
+    return _read(text.aligned(spark, path))
 
 
 _REGIONS = "SELECT CASE n_regionkey % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'A' ELSE 'R' END AS contig, n_nationkey * 700 AS s, n_nationkey * 700 + 90 + n_regionkey * 200 AS e FROM nation"

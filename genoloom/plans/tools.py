@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from genoloom.operators import cluster, groups, matrix, merge, pairs, variants
 from genoloom.operators import reads as R
-from genoloom.sources import sinks, text, vcf
+from genoloom.sources import bam, sinks, text, vcf
 
 
 def _site() -> Column:
@@ -28,7 +28,7 @@ class CellReads:
     intervals: str | None = None
 
     def run(self, spark: SparkSession) -> DataFrame:
-        reads = text.sam(spark, self.input)
+        reads = text.aligned(spark, self.input)
         if self.intervals:
             reads = R.overlapping(reads.withColumnRenamed("pos", "start"), text.regions(spark, self.intervals))
         counts = R.reads_per_barcode(reads.select(F.col("tags")[self.sample_tag].alias("barcode"), "dup"))
@@ -56,7 +56,7 @@ class CellVariantcaller:
     def calls(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """(raw variants, raw observations, filtered variants, filtered observations), all with a site."""
         cells = text.cell_list(spark, self.correct_cells)
-        reads = text.sam(spark, self.input).withColumns({"barcode": F.col("tags")[self.sample_tag], "umi": F.col("tags")[self.umi_tag] if self.umi_tag else F.lit(None).cast("string"), "ord": F.struct("pos", "name", "flag")})
+        reads = text.aligned(spark, self.input).withColumns({"barcode": F.col("tags")[self.sample_tag], "umi": F.col("tags")[self.umi_tag] if self.umi_tag else F.lit(None).cast("string"), "ord": F.struct("pos", "name", "flag")})
         reads = R.known_cells(reads, cells)
         bases = R.cigar_bases(reads, ["contig", "cell", "umi", "forward", "dup", "ord"]).withColumnRenamed("position", "pos")
         bases = bases.filter(F.coalesce(R.mean_quality(F.col("quals")) >= self.cutoffs.min_base_quality, F.lit(False)))
@@ -86,7 +86,7 @@ class CellVariantcaller:
 
 def load_calls(spark: SparkSession, path: str, cells: DataFrame, correct_cells: str, reference: str | None) -> DataFrame:
     """Observations with a site, from a text of reads, or a VCF file or folder."""
-    if path.endswith((".sam", ".sam.gz")):
+    if path.rstrip("/").endswith((".sam", ".sam.gz", ".bam")):
         if not reference:
             raise ValueError("Reads need a reference")
         return CellVariantcaller(path, reference, correct_cells).calls(spark)[3]
@@ -159,6 +159,7 @@ class EvalSubGroups:
         if self.known:
             result = groups.precision_recall(text.known_lists(spark, self.known), found)
             sinks.table(result, f"{self.output}/compare-groups.tsv", ["known", "grp"])
+            sinks.stats(result, f"{self.output}/compare-groups")
             for name in ("precision", "recall"):
                 wide = result.groupBy("known").pivot("grp").agg(F.first(name))
                 sinks.table(wide, f"{self.output}/{name}.tsv", ["known"])
@@ -217,7 +218,7 @@ class ExtractCellFastqs:
     skip_duplicates: bool = False
 
     def run(self, spark: SparkSession) -> DataFrame:
-        reads = text.sam(spark, self.input).withColumn("barcode", F.col("tags")[self.sample_tag])
+        reads = text.aligned(spark, self.input).withColumn("barcode", F.col("tags")[self.sample_tag])
         fragments = merge.fastq_reads(reads, text.cell_list(spark, self.correct_cells), skip_duplicates=self.skip_duplicates)
         sinks.fastq(fragments, self.output)
         return fragments
@@ -240,17 +241,28 @@ class MergeRuns:
     def run(self, spark: SparkSession) -> DataFrame:
         if len(self.inputs) < 2:
             raise ValueError("At least two inputs are needed")
-        runs = {k: text.sam(spark, p).withColumns({"barcode": F.col("tags")[self.sample_tag], "umi": F.col("tags")[self.umi_tag], "ord": F.monotonically_increasing_id()}) for k, p in self.inputs.items()}
+        runs = {k: text.aligned(spark, p).withColumns({"barcode": F.col("tags")[self.sample_tag], "umi": F.col("tags")[self.umi_tag], "ord": F.monotonically_increasing_id()}) for k, p in self.inputs.items()}
         listed = text.sample_barcodes(spark, self.barcodes).select("barcode")
         pairs_ = merge.doublet_pairs(listed, self.doublets, self.seed)
         reads = merge.with_doublets(merge.merged(runs), pairs_) if self.doublets else merge.merged(runs)
         reads = merge.downsampled(reads, self.downsample_fraction, ["sample", "barcode", "umi", "name", "flag", "pos"], self.seed)
         own = F.map_from_entries(F.filter(F.array(F.struct(F.lit(self.sample_tag).alias("k"), F.col("barcode").alias("v")), F.struct(F.lit(self.umi_tag).alias("k"), F.col("umi").alias("v"))), lambda x: x["v"].isNotNull()))
         rest = F.map_filter("tags", lambda k, _: ~k.isin(self.sample_tag, self.umi_tag))
-        out = merge.coordinate_sorted(reads.withColumn("tags", F.map_concat(rest, own)), rank="contig")
-        sinks.sam(out, self.output)
-        names = merge.merged_barcodes(listed, pairs_) if self.doublets else listed
-        sinks.write_lines(names.select(F.col("barcode").alias("value")), self.output_barcodes, ["value"])
+        reads = reads.withColumn("tags", F.map_concat(rest, own))
+        contigs: dict[str, int] = {}  # in the order of the headers
+        for path in self.inputs.values():
+            for name, length in text.contigs(spark, path):
+                contigs.setdefault(name, length)
+        rank = F.create_map(*(F.lit(x) for k, c in enumerate(contigs) for x in (c, k)))[F.col("contig")] if contigs else F.lit(None).cast("int")
+        out = merge.coordinate_sorted(reads.withColumn("contig_rank", rank)).drop("contig_rank")
+        if self.output.endswith(".bam"):
+            bam.write(out, self.output, list(contigs.items()))
+        else:
+            sinks.sam(out, self.output, ["@HD\tVN:1.6\tSO:coordinate", *(f"@SQ\tSN:{c}\tLN:{n}" for c, n in contigs.items())])
+        names = listed.select(F.lit(0).alias("late"), "barcode")
+        if self.doublets:  # behind all barcodes
+            names = names.union(pairs_.select(F.lit(1), "doublet").distinct())
+        sinks.write_lines(names.select("late", F.col("barcode").alias("value")), self.output_barcodes, ["late", "value"])
         return out
 
 

@@ -1,11 +1,16 @@
 from __future__ import annotations
 
+import glob
+import gzip
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from genoloom import cli
 from genoloom.operators import variants
 from genoloom.plans import tools
-from genoloom.sources import sinks, text, vcf
+from genoloom.sources import bam, sinks, text, vcf
 
 
 def rows(df):
@@ -93,6 +98,7 @@ def test_distance_to_groups(spark, tmp_path, observed, cells_file):
     assert len(lines) == 1 and "0/0:2" in lines[0][0] and "1/1:1" in lines[0][0]
     result = tools.EvalSubGroups(groups, str(tmp_path / "eval"), {"a": put(tmp_path / "a.txt", "s1\ns2\n"), "b": put(tmp_path / "b.txt", "s3\n")}, f"{out}/distance.pow4.csv").run(spark)
     assert {(r["known"], r["grp"]): r["precision"] for r in result.collect()}[("a", "cluster_1")] == 1.0
+    assert open(tmp_path / "eval/compare-groups/a-cluster_1.stats").read() == "Overlap\t2\nMissed\t0\nWrong\t0\nPrecision\t1.0\nRecall\t1.0\n"
 
 
 SAM = "@HD\tVN:1\n" + "".join(f"r{i}\t{f}\tc1\t{p}\t60\t10M\t*\t0\t0\t{s}\tIIIIIIIIII\tSM:Z:{c}\tUB:Z:{u}\n" for i, (f, p, s, c, u) in enumerate([(0, 1, "AAAACAAAAA", "s1", "U1"), (0, 1, "AAAACAAAAA", "s1", "U1"), (0, 1, "AAAACAAAAA", "s1", "U2"), (1024, 1, "AAAAAAAAAA", "s2", "U3"), (16, 1, "AAAAAAAAAA", "s2", "U4"), (0, 1, "AAAAAAAAAA", "nobody", "U5")]))
@@ -116,6 +122,73 @@ def test_reads_tools(spark, tmp_path, cells_file):
     assert len(open(tmp_path / "m.txt").read().split()) == 7
 
 
+def test_binary_reads(spark, tmp_path):
+    """Records over block borders, ranges smaller than a record, and fields that are missing."""
+    rnd = random.Random(5)
+    data = []
+    for i in range(400):
+        n = 70000 if i % 90 == 7 else rnd.choice([0, 1, 5, 50, 151])
+        bases, quals = "".join(rnd.choice("ACGTN") for _ in range(n)), "".join(chr(34 + rnd.randrange(40)) for _ in range(n))
+        data.append((f"r{i}", rnd.choice([0, 16, 1024, 4]), rnd.choice(["c1", "c2", None]), rnd.randrange(100000), rnd.randrange(256), f"{n}M" if n else "*", bases or "*", quals or "*", {"CB": f"b{i % 7}", "UB": "x" * rnd.randrange(9)}))
+    path, contigs = str(tmp_path / "x.bam"), [("c1", 1000000), ("c2", 50)]
+    bam.write(spark.createDataFrame(data, bam.ROW_DDL).repartition(2), path, contigs)
+    assert bam.contigs(spark, path) == contigs
+    files = sorted(glob.glob(f"{path}/*.bam"))
+    assert [f.rsplit("/", 1)[1] for f in files] == ["0.bam", "1.bam"]
+    for f in files:
+        body, blocks = open(f, "rb").read(), gzip.open(f).read()
+        assert body.endswith(bam.EOF_BLOCK) and blocks[:4] == b"BAM\x01"
+        whole = [r for c in bam._range(f, 0, len(body), 64) for r in c]
+        for step in (50000, 2500):
+            assert [r for a in range(0, len(body), step) for c in bam._range(f, a, min(a + step, len(body)), 64) for r in c] == whole
+        cut = str(tmp_path / "cut.bam")
+        with open(cut, "wb") as out:
+            out.write(body[: len(body) // 2])
+        with pytest.raises(ValueError, match="No block|cut off"):
+            list(bam._range(cut, 0, len(body) // 2, 64))
+    key = lambda r: tuple(sorted(r[8].items())) + tuple(map(str, r[:8]))
+    for size in (1 << 26, 40000):
+        assert sorted(map(key, bam.bam(spark, path, size).collect())) == sorted(map(key, data))
+    with pytest.raises(Exception, match="not in the header"):
+        bam.write(spark.createDataFrame(data, bam.ROW_DDL), str(tmp_path / "y.bam"), contigs[:1])
+    empty = str(tmp_path / "e.bam")
+    bam.write(spark.createDataFrame([], bam.ROW_DDL).coalesce(1), empty, contigs)
+    assert not glob.glob(f"{empty}/*.bam") or bam.bam(spark, empty).isEmpty()
+
+
+def test_tags_of_all_types():
+    """Against bytes laid out by hand."""
+    raw = b"XAAq" + b"Xcc\xff" + b"XSS\x01\x02" + b"XiI\xff\xff\xff\xff" + b"Xff\x00\x00\xc0\x3f" + b"XZZa:b\x00" + b"XBBs\x02\x00\x00\x00\x01\x00\xff\xff"
+    assert bam._tags(bytearray(raw), 0, len(raw)) == [("XA", "q"), ("Xc", "-1"), ("XS", "513"), ("Xi", "4294967295"), ("Xf", "1.5"), ("XZ", "a:b"), ("XB", "s,1,-1")]
+    for n in (1, 2, 3):
+        with pytest.raises(ValueError, match="tag"):
+            bam._tags(bytearray(raw), 0, len(raw) - n)
+
+
+def test_binary_reads_through_tools(spark, tmp_path, cells_file):
+    sam = put(tmp_path / "x.sam", SAM.replace("@HD\tVN:1\n", "@HD\tVN:1\n@SQ\tSN:c1\tLN:30\n"))
+    out = str(tmp_path / "m.bam")
+    merged = tools.MergeRuns({"a": sam, "b": sam}, {"a": cells_file, "b": cells_file}, out, str(tmp_path / "m.txt"), "SM", doublets=1).run(spark)
+    assert bam.contigs(spark, out) == [("c1", 30)]
+    key = ["name", "flag", "contig", "pos", "cigar", "seq", "qual", F.array_sort(F.map_entries("tags"))]
+    assert rows(text.aligned(spark, out).select(key)) == rows(merged.select(key)) == rows(text.sam(spark, _as_text(spark, merged, tmp_path)).select(key))
+    names = open(tmp_path / "m.txt").read().split()
+    assert names[:6] == sorted(names[:6]) and "_" in names[6] and len(names) == 7
+    one = str(tmp_path / "one.bam")
+    bam.write(text.sam(spark, sam).coalesce(1), one, [("c1", 30)])
+    reference = put(tmp_path / "r.fa", ">c1\n" + "A" * 30 + "\n")
+    cells = text.cell_list(spark, cells_file)
+    call = lambda p: rows(tools.CellVariantcaller(p, reference, cells_file, None, "SM", "UB", cutoffs=variants.Cutoffs(min_total_depth=2)).calls(spark)[3])
+    assert call(one) == call(sam) != []
+    assert rows(tools.load_calls(spark, one, cells, cells_file, reference)) == rows(tools.load_calls(spark, sam, cells, cells_file, reference))
+
+
+def _as_text(spark, reads, tmp_path):
+    path = str(tmp_path / "as-text")
+    sinks.sam(reads, path)
+    return path
+
+
 def test_reads_by_intervals(spark, tmp_path, cells_file):
     sam, bed = put(tmp_path / "x.sam", SAM + SAM.splitlines()[1].replace("\tc1\t1\t", "\tc1\t500\t") + "\n"), put(tmp_path / "r.bed", "c1\t3\t6\nc1\t8\t12\n")
     reference = put(tmp_path / "r.fa", ">c1\n" + "A" * 600 + "\n")
