@@ -54,7 +54,7 @@ class CellVariantcaller:
     partitions: int = 200
 
     def calls(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """(raw variants, raw observations, filtered variants, filtered observations), all with a site."""
+        """(raw variants, raw observations, filtered variants, filtered observations), all with a site; piles the reads up at once."""
         cells = text.cell_list(spark, self.correct_cells)
         reads = text.aligned(spark, self.input).withColumns({"barcode": F.col("tags")[self.sample_tag], "umi": F.col("tags")[self.umi_tag] if self.umi_tag else F.lit(None).cast("string"), "ord": F.struct("pos", "name", "flag")})
         reads = R.known_cells(reads, cells)
@@ -65,7 +65,8 @@ class CellVariantcaller:
         keyed = bases.withColumns({"site": F.struct("contig", "pos"), "allele": F.struct("allele", "del_bases")})
         # reads without a UMI count by their duplicate flag
         raw = R.pileup_umi(keyed, ["ord"]) if self.umi_tag else R.pileup(keyed)
-        alleles = raw.select("site.contig", "site.pos", "cell", "allele.allele", "allele.del_bases", *variants.COUNTS)
+        # all that follows reads the counts several times: the reads are piled up once
+        alleles = cluster.checkpointed(raw.select("site.contig", "site.pos", "cell", "allele.allele", "allele.del_bases", *variants.COUNTS))
         calls, obs = R.site_calls(R.site_alleles(alleles, text.fasta(spark, self.reference)))
         calls, obs = calls.withColumn("site", _site()), variants.filtered(obs.withColumn("site", _site()), self.cutoffs)
         clean = variants.zero_improbable(obs, self.seq_error, self.cutoffs.max_p_value)
