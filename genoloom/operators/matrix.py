@@ -1,6 +1,7 @@
 """Distance matrices in long form: dist(s1, s2, d) with s1 < s2, a row for each pair that has a distance.
 
 ``cells``: the cells of the matrix, in a column ``cell``; a cell is part of it without any distance too.
+Every function takes a ``Folded`` too, and gives what it would give for its pairs of cells.
 """
 
 from __future__ import annotations
@@ -8,16 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genoloom.operators.folded import Folded, by_class, exact_sum, unfolded, ways
+
 
 def symmetric(dist: DataFrame) -> DataFrame:
     """Both directions of each pair."""
-    ways = F.array(F.struct(F.col("s1").alias("a"), F.col("s2").alias("b")), F.struct(F.col("s2").alias("a"), F.col("s1").alias("b")))
-    return dist.select(F.explode(ways).alias("p"), "d").select(F.col("p.a").alias("s1"), F.col("p.b").alias("s2"), "d")
+    dist = unfolded(dist)
+    both = F.array(F.struct(F.col("s1").alias("a"), F.col("s2").alias("b")), F.struct(F.col("s2").alias("a"), F.col("s1").alias("b")))
+    return dist.select(F.explode(both).alias("p"), "d").select(F.col("p.a").alias("s1"), F.col("p.b").alias("s2"), "d")
+
+
+def _partners(dist: DataFrame | Folded) -> DataFrame:
+    """cell, k: how many cells a cell has a distance to, for those with any."""
+    if not isinstance(dist, Folded):
+        return symmetric(dist).groupBy(F.col("s1").alias("cell")).agg(F.count(F.lit(1)).alias("k"))
+    each = ways(dist).groupBy(F.col("s1").alias("cls")).agg(F.sum("w").alias("k")).filter("k > 0")
+    return dist.copies.join(each, "cls").select("cell", "k")
 
 
 def overlap(dist: DataFrame, cells: DataFrame, cutoff: float) -> DataFrame:
     """cell, n_overlap, n_wrong: cells within the cutoff (itself and those without a distance too), and the others."""
-    far = symmetric(dist).filter(F.col("d") > cutoff).groupBy(F.col("s1").alias("cell")).agg(F.count(F.lit(1)).alias("n_wrong"))
+    far = _partners(dist.filter(F.col("d") > cutoff)).withColumnRenamed("k", "n_wrong")
     n = cells.select(F.count(F.lit(1))).scalar()
     out = cells.select("cell").join(far, "cell", "left").withColumn("n_wrong", F.coalesce("n_wrong", F.lit(0).cast("bigint")))
     return out.select("cell", (n - F.col("n_wrong")).alias("n_overlap"), "n_wrong")
@@ -25,7 +37,7 @@ def overlap(dist: DataFrame, cells: DataFrame, cutoff: float) -> DataFrame:
 
 def wrong(dist: DataFrame, cutoff: float) -> DataFrame:
     """s1, s2: ordered pairs whose distance is over the cutoff."""
-    return symmetric(dist).filter(F.col("d") > cutoff).select("s1", "s2")
+    return symmetric(dist.filter(F.col("d") > cutoff)).select("s1", "s2")
 
 
 def overlaps_of(dist: DataFrame, cells: DataFrame, chosen: DataFrame, cutoff: float) -> DataFrame:
@@ -37,11 +49,16 @@ def overlaps_of(dist: DataFrame, cells: DataFrame, chosen: DataFrame, cutoff: fl
 def submatrix(dist: DataFrame, chosen: DataFrame) -> DataFrame:
     """The part of the chosen cells; their numbers stay, and with them their order."""
     one = chosen.select("cell").distinct()
+    if isinstance(dist, Folded):
+        return unfolded(Folded(dist.dist, dist.copies.join(one, "cell", "left_semi"))).select("s1", "s2", "d")
     return dist.join(one.withColumnRenamed("cell", "s1"), "s1", "left_semi").join(one.withColumnRenamed("cell", "s2"), "s2", "left_semi").select("s1", "s2", "d")
 
 
 def histogram(dist: DataFrame) -> DataFrame:
     """value, count over all pairs with a distance."""
+    if isinstance(dist, Folded):
+        count = F.when(F.col("s1") == F.col("s2"), F.expr("n1 * (n1 - 1) div 2")).otherwise(F.col("n1") * F.col("n2"))
+        return dist.dist.groupBy(F.col("d").alias("value")).agg(F.sum(count).alias("count")).filter("count > 0")
     return dist.groupBy(F.col("d").alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -62,6 +79,11 @@ def subgroup_histogram(dist: DataFrame, groups: DataFrame) -> DataFrame:
 
     So a pair within a group counts twice, and one between groups once.
     """
+    if isinstance(dist, Folded):
+        m = by_class(dist, groups)
+        one, two = m.select(F.col("cls").alias("s1"), F.col("grp").alias("g1"), F.col("k").alias("k1")), m.select(F.col("cls").alias("s2"), F.col("grp").alias("g2"), F.col("k").alias("k2"))
+        count = F.sum(F.col("k1") * F.when((F.col("s1") == F.col("s2")) & (F.col("g1") == F.col("g2")), F.col("k2") - 1).otherwise(F.col("k2")))
+        return ways(dist).join(one, "s1").join(two, "s2").filter("g1 <= g2").groupBy("g1", "g2", F.col("d").alias("value")).agg(count.alias("count")).filter("count > 0")
     one = groups.select(F.col("cell").alias("s1"), F.col("grp").alias("g1"))
     two = groups.select(F.col("cell").alias("s2"), F.col("grp").alias("g2"))
     rows = dist.join(one, "s1").join(two, "s2").select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"), "d")
@@ -70,25 +92,39 @@ def subgroup_histogram(dist: DataFrame, groups: DataFrame) -> DataFrame:
 
 def group_distance(dist: DataFrame, groups: DataFrame) -> DataFrame:
     """grp, d: the sum over ordered pairs within a group, by its number of cells; missing distances count 0."""
-    one = groups.select(F.col("cell").alias("s1"), F.col("grp"))
-    two = groups.select(F.col("cell").alias("s2"), F.col("grp").alias("g2"))
-    sums = dist.join(one, "s1").join(two, "s2").filter("grp = g2").groupBy("grp").agg((2 * F.sum("d")).alias("sum"))
+    if isinstance(dist, Folded):
+        m = by_class(dist, groups)
+        one, two = m.select(F.col("cls").alias("s1"), "grp", F.col("k").alias("k1")), m.select(F.col("cls").alias("s2"), "grp", F.col("k").alias("k2"))
+        both = F.col("k1") * F.when(F.col("s1") == F.col("s2"), F.col("k2") - 1).otherwise(F.col("k2"))
+        sums = ways(dist).join(one, "s1").join(two, ["s2", "grp"]).groupBy("grp").agg(exact_sum(F.col("d") * both).alias("sum"))
+    else:
+        one = groups.select(F.col("cell").alias("s1"), F.col("grp"))
+        two = groups.select(F.col("cell").alias("s2"), F.col("grp").alias("g2"))
+        sums = dist.join(one, "s1").join(two, "s2").filter("grp = g2").groupBy("grp").agg((2 * F.sum("d")).alias("sum"))
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     return sizes.join(sums, "grp", "left").select("grp", (F.coalesce("sum", F.lit(0.0)) / F.col("n")).alias("d"))
 
 
 def cell_group_distance(dist: DataFrame, groups: DataFrame) -> DataFrame:
     """cell, grp, sum, n: for every cell and group the sum of the cell's distances to the group, and the group's size."""
-    members = groups.select(F.col("cell").alias("s2"), "grp")
-    sums = symmetric(dist).join(members, "s2").groupBy(F.col("s1").alias("cell"), "grp").agg(F.sum("d").alias("sum"))
+    if isinstance(dist, Folded):
+        m = by_class(dist, groups).select(F.col("cls").alias("s2"), "grp", "k")
+        own = F.when(F.col("s1") == F.col("s2"), F.col("d"))
+        each = ways(dist).join(m, "s2").groupBy(F.col("s1").alias("cls"), "grp").agg(exact_sum(F.col("d") * F.col("k")).alias("sum"), F.sum("k").alias("k"), F.max(own).alias("own"))
+        # a cell is not its own partner
+        rows = dist.copies.select("cell", "cls").join(each, "cls").join(groups.select("cell", F.col("grp").alias("__in")), "cell", "left")
+        inside = F.coalesce(F.col("__in") == F.col("grp"), F.lit(False))
+        sums = rows.filter(F.col("k") > inside.cast("int")).select("cell", "grp", F.when(inside, F.col("sum") - F.col("own")).otherwise(F.col("sum")).alias("sum"))
+    else:
+        members = groups.select(F.col("cell").alias("s2"), "grp")
+        sums = symmetric(dist).join(members, "s2").groupBy(F.col("s1").alias("cell"), "grp").agg(F.sum("d").alias("sum"))
     return sums.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "grp").select("cell", "grp", "sum", "n")
 
 
 def sparse_cells(dist: DataFrame, cells: DataFrame, share: float = 0.25) -> DataFrame:
     """Cells with a distance to less than ``share`` of all cells, themselves among them."""
     n = cells.select(F.count(F.lit(1))).scalar()
-    known = symmetric(dist).groupBy(F.col("s1").alias("cell")).agg(F.count(F.lit(1)).alias("k"))
-    return cells.select("cell").join(known, "cell", "left").filter(F.coalesce("k", F.lit(0)) < share * n).select("cell")
+    return cells.select("cell").join(_partners(dist), "cell", "left").filter(F.coalesce("k", F.lit(0)) < share * n).select("cell")
 
 
 def vectors(dist: DataFrame, cells: DataFrame) -> DataFrame:
@@ -99,3 +135,18 @@ def vectors(dist: DataFrame, cells: DataFrame) -> DataFrame:
     have = symmetric(dist).groupBy(F.col("s1").alias("cell")).agg(F.map_from_entries(F.collect_list(F.struct("s2", "d"))).alias("m"))
     rows = cells.select("cell").join(have, "cell", "left").withColumn("__every", every)
     return rows.select("cell", array_to_vector(F.transform("__every", lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0)))).alias("features"))
+
+
+def class_vectors(dist: Folded) -> DataFrame:
+    """cls, features: a class's distances to all classes in order, missing ones 0, each times the root of that class's size.
+
+    So two classes are as far from each other as the rows of their cells over all cells.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    sizes = dist.copies.groupBy("cls").agg(F.first("n").alias("n"))
+    every = sizes.select(F.sort_array(F.collect_list("cls"))).scalar()
+    scaled = ways(dist).join(sizes.select(F.col("cls").alias("s2"), F.sqrt("n").alias("root")), "s2")
+    have = scaled.groupBy(F.col("s1").alias("cls")).agg(F.map_from_entries(F.collect_list(F.struct("s2", (F.col("d") * F.col("root")).alias("v")))).alias("m"))
+    rows = have.withColumn("__every", every)
+    return rows.select("cls", array_to_vector(F.transform("__every", lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0)))).alias("features"))
