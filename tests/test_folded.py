@@ -17,6 +17,7 @@ from test_queries import DIR, plain
 COPIES = 4
 NAMES = [
     "dist_histogram_binned",
+    "pair_distance_chi2",
 ]
 
 
