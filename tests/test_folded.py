@@ -18,6 +18,7 @@ COPIES = 4
 NAMES = [
     "dist_histogram_binned",
     "pair_distance_chi2",
+    "dist_overlap",
 ]
 
 
