@@ -19,6 +19,7 @@ NAMES = [
     "dist_histogram_binned",
     "pair_distance_chi2",
     "dist_overlap",
+    "cell_group_distance",
 ]
 
 
