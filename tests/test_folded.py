@@ -20,6 +20,7 @@ NAMES = [
     "pair_distance_chi2",
     "dist_overlap",
     "cell_group_distance",
+    "redistribute_trash",
 ]
 
 
