@@ -21,6 +21,7 @@ NAMES = [
     "dist_overlap",
     "cell_group_distance",
     "redistribute_trash",
+    "split_seed_pair",
 ]
 
 
