@@ -22,6 +22,7 @@ NAMES = [
     "cell_group_distance",
     "redistribute_trash",
     "split_seed_pair",
+    "sparse_cells",
 ]
 
 
