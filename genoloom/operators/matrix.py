@@ -6,6 +6,8 @@ Every function takes a ``Folded`` too, and gives what it would give for its pair
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,26 +129,46 @@ def sparse_cells(dist: DataFrame, cells: DataFrame, share: float = 0.25) -> Data
     return cells.select("cell").join(_partners(dist), "cell", "left").filter(F.coalesce("k", F.lit(0)) < share * n).select("cell")
 
 
-def vectors(dist: DataFrame, cells: DataFrame) -> DataFrame:
-    """cell, features: a cell's distances to all cells in order, missing ones 0."""
+#: Bytes of vectors in a partition: a clustering passes over them many times.
+VECTOR_BYTES = 32_000_000
+
+
+def _dense(entries: DataFrame, every: list[int], key: str) -> DataFrame:
+    """key, features: a row for each of ``every``, from its entries (i, j, v); missing ones are 0. ``every``: numbers in order, a vector's columns."""
     from pyspark.ml.functions import array_to_vector
 
-    every = cells.select(F.sort_array(F.collect_list("cell"))).scalar()
-    have = symmetric(dist).groupBy(F.col("s1").alias("cell")).agg(F.map_from_entries(F.collect_list(F.struct("s2", "d"))).alias("m"))
-    rows = cells.select("cell").join(have, "cell", "left").withColumn("__every", every)
-    return rows.select("cell", array_to_vector(F.transform("__every", lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0)))).alias("features"))
+    columns = np.array(every, np.int64)
+
+    def row(number: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        features = np.zeros(len(columns))
+        if number[0].as_py() not in known:
+            return pa.table({key: pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float64()))})
+        j, v = t["j"].to_numpy(), t["v"].to_numpy()
+        place = np.minimum(np.searchsorted(columns, j), len(columns) - 1)
+        there = columns[place] == j
+        features[place[there]] = v[there]
+        return pa.table({key: pa.array([number[0].as_py()], pa.int64()), "v": pa.array([features], pa.list_(pa.float64()))})
+
+    known = set(every)
+    # every number has a row, whatever it has entries for
+    own = entries.sparkSession.createDataFrame([(c, c, 0.0) for c in every], "i bigint, j bigint, v double")
+    entries = entries.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v")).filter("i <> j and v is not null")
+    rows = own.unionByName(entries).groupBy("i").applyInArrow(row, f"{key} bigint, v array<double>")
+    return rows.repartition(max(1, 8 * len(every) ** 2 // VECTOR_BYTES)).select(key, array_to_vector("v").alias("features"))
+
+
+def vectors(dist: DataFrame, cells: DataFrame) -> DataFrame:
+    """cell, features: a cell's distances to all cells in order, missing ones 0."""
+    every = [r[0] for r in cells.select("cell").orderBy("cell").collect()]  # a vector holds as many values
+    return _dense(symmetric(dist).select(F.col("s1").alias("i"), F.col("s2").alias("j"), F.col("d").alias("v")), every, "cell").select(F.col("cell").cast(dict(cells.dtypes)["cell"]).alias("cell"), "features")
 
 
 def class_vectors(dist: Folded) -> DataFrame:
     """cls, features: a class's distances to all classes in order, missing ones 0, each times the root of that class's size.
 
-    So two classes are as far from each other as the rows of their cells over all cells.
+    So two classes are as far from each other as the rows of their cells over all cells. A class's cells are at distance 0.
     """
-    from pyspark.ml.functions import array_to_vector
-
     sizes = dist.copies.groupBy("cls").agg(F.first("n").alias("n"))
-    every = sizes.select(F.sort_array(F.collect_list("cls"))).scalar()
+    every = sorted(r[0] for r in sizes.select("cls").collect())
     scaled = ways(dist).join(sizes.select(F.col("cls").alias("s2"), F.sqrt("n").alias("root")), "s2")
-    have = scaled.groupBy(F.col("s1").alias("cls")).agg(F.map_from_entries(F.collect_list(F.struct("s2", (F.col("d") * F.col("root")).alias("v")))).alias("m"))
-    rows = have.withColumn("__every", every)
-    return rows.select("cls", array_to_vector(F.transform("__every", lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0)))).alias("features"))
+    return _dense(scaled.select(F.col("s1").alias("i"), F.col("s2").alias("j"), (F.col("d") * F.col("root")).alias("v")), every, "cls")

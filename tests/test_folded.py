@@ -99,3 +99,13 @@ def test_greedy_split_of_classes_is_that_of_cells():
         seeds = tuple(int(x) for x in rng.choice(n, 2, replace=False))
         side = cluster.greedy_split_of(d, [np.flatnonzero(cls == c) for c in range(k)], seeds)
         assert [side[i] for i in range(n)] == cluster.greedy_split(d[np.ix_(cls, cls)], seeds).tolist()
+
+
+def test_class_vectors_are_as_far_apart_as_rows_of_cells(spark):
+    obs, cells = _many(spark)
+    fold = cluster.checkpointed(pairs.folded(obs, digits=6))
+    rows = {r["cell"]: r["features"].toArray() for r in matrix.vectors(folded.unfolded(fold), cells).collect()}
+    one = {r["cls"]: r["features"].toArray() for r in matrix.class_vectors(fold).collect()}
+    cls = {r["cell"]: r["cls"] for r in fold.copies.collect()}
+    assert len(rows) == 28 and all(len(v) == 28 for v in rows.values()) and len(cls) == 28
+    assert all(np.isclose(((rows[a] - rows[b]) ** 2).sum(), ((one[cls[a]] - one[cls[b]]) ** 2).sum()) for a in cls for b in cls)
