@@ -23,6 +23,7 @@ NAMES = [
     "redistribute_trash",
     "split_seed_pair",
     "sparse_cells",
+    "dist_wrong",
 ]
 
 
