@@ -24,6 +24,7 @@ NAMES = [
     "split_seed_pair",
     "sparse_cells",
     "dist_wrong",
+    "io_histogram",
 ]
 
 
