@@ -25,6 +25,7 @@ NAMES = [
     "sparse_cells",
     "dist_wrong",
     "io_histogram",
+    "dist_histogram",
 ]
 
 
