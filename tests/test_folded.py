@@ -26,6 +26,7 @@ NAMES = [
     "dist_wrong",
     "io_histogram",
     "dist_histogram",
+    "pair_distance_depthpow2",
 ]
 
 
