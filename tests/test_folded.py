@@ -27,6 +27,7 @@ NAMES = [
     "io_histogram",
     "dist_histogram",
     "pair_distance_depthpow2",
+    "pair_distance_chi2pow",
 ]
 
 
