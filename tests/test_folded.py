@@ -28,6 +28,7 @@ NAMES = [
     "dist_histogram",
     "pair_distance_depthpow2",
     "pair_distance_chi2pow",
+    "pair_positions",
 ]
 
 
