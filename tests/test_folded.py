@@ -29,6 +29,7 @@ NAMES = [
     "pair_distance_depthpow2",
     "pair_distance_chi2pow",
     "pair_positions",
+    "io_matrix",
 ]
 
 
