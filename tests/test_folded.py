@@ -30,6 +30,7 @@ NAMES = [
     "pair_distance_chi2pow",
     "pair_positions",
     "io_matrix",
+    "io_matrix_by_counts",
 ]
 
 
