@@ -31,6 +31,7 @@ NAMES = [
     "pair_positions",
     "io_matrix",
     "io_matrix_by_counts",
+    "dist_normalised", "dist_submatrix", "group_distance", "move_costs", "pair_distance_pow4", "pair_scatter", "subgroup_histogram",
 ]
 
 
