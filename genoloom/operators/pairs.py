@@ -4,22 +4,32 @@ Cells are cut into blocks by their number, and every pair of blocks is a tile. B
 go to their tiles by one exchange (a cell's row is copied once a block), and a tile holds all sites of
 its pairs, so the sum over sites needs no exchange of pairs. A site with very many cells is spread
 over all tiles.
+
+Rounded distances (``folded``) take the same tiles, a row for each block and site, to numpy: a site's
+distances of all pairs of a tile are a matrix there, and no row is made of a pair and site.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoloom.functions.distance import method, midpoint_distance, total
+from genoloom.functions.distance import Method, method, midpoint_distance, total
 from genoloom.operators.cluster import checkpointed
 from genoloom.operators.folded import Folded
-from genoloom.operators.variants import allele_arrays
+from genoloom.operators.variants import allele_arrays, depth
 
 #: Lets a join and an aggregate use an exchange by some of their keys.
 CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Most cells of a block, and about most rows (cell and site) of one, where distances are made by matrices.
+BLOCK_CELLS, BLOCK_ROWS = 2048, 500_000
+#: Pairs of a tile that are worked on together.
+SLAB = 1 << 16
 
 
 def covered_arrays(obs: DataFrame, min_coverage: int = 5, key: str = "site") -> DataFrame:
@@ -27,6 +37,13 @@ def covered_arrays(obs: DataFrame, min_coverage: int = 5, key: str = "site") ->
     return allele_arrays(obs, key).filter(F.aggregate("ad", F.lit(0).cast("bigint"), lambda a, x: a + x) > min_coverage)
 
 
+def _counted_arrays(obs: DataFrame, min_coverage: int, key: str, alleles: int) -> DataFrame:
+    """``covered_arrays`` with the depths of the first ``alleles`` alleles, in one pass over ``obs``: no site is asked for its last allele."""
+    counts = [F.sum(F.when(F.col("allele") == k, depth()).otherwise(0)) for k in range(alleles)]
+    rows = obs.groupBy(key, "cell").agg(F.array(*counts).alias("ad"), F.sum(depth()).alias("__t"))
+    return rows.filter(F.col("__t") > min_coverage).select(key, "cell", "ad")
+
+
 def cell_pairs(arrays: DataFrame, key: str = "site", blocks: int | None = None, cells: int | None = None, same: bool = False) -> DataFrame:
     """tile, key, s1, s2 and what both rows carry (ad1, ad2, or any columns but key and cell, with a 1 or 2 behind) for all pairs s1 < s2 of cells that share a site.
 
@@ -72,6 +89,74 @@ def _of_arrays(arrays: DataFrame, names: list[str], key: str, alleles: int | Non
     return pairs.groupBy("tile", "s1", "s2", *(f"{c}{k}" for c in size for k in "12")).agg(F.count(F.lit(1)).alias("positions"), *sums).drop("tile")
 
 
+def _tile(dense: Callable[[np.ndarray, np.ndarray], np.ndarray], back: bool, alleles: int, digits: int, fold: bool, kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pairs of a tile, from rows of (side, key, r: its cells at that site with their counts). ``back``: also with the second cell first."""
+    scale = 10.0**digits
+    rounded = lambda x: np.floor(x * scale + 0.5) / scale  # noqa: E731  no distance is negative
+
+    def side(t: pa.Table, which: int) -> tuple[np.ndarray, np.ndarray | None, dict[object, tuple[np.ndarray, np.ndarray]]]:
+        """(cells in order, their n, site -> (places of its cells, counts))."""
+        sites, every, sizes = {}, [], []
+        for k in np.flatnonzero(t["side"].to_numpy() == which).tolist():
+            rows = t["r"][k].values
+            cell = rows.field("cell").to_numpy()
+            order = np.argsort(cell)
+            every.append(cell[order])
+            if fold:
+                sizes.append(rows.field("n").to_numpy()[order])
+            sites[t["key"][k].as_py()] = every[-1], np.stack([rows.field(f"a{i}").to_numpy()[order] for i in range(alleles)], 1)
+        if not every:
+            return np.array([], np.int64), None, {}
+        cells, first = np.unique(np.concatenate(every), return_index=True)
+        return cells, np.concatenate(sizes)[first] if fold else None, {s: (np.searchsorted(cells, c), a) for s, (c, a) in sites.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        (c1, n1, one), (c2, n2, two) = side(t, 0), side(t, 1)
+        shared, step = sorted(one.keys() & two.keys()), max(1, SLAB // max(1, len(c2)))
+        for at in range(0, len(c1) if len(c2) else 0, step):
+            own = c1[at : at + step]
+            sums, positions = [np.zeros((len(own), len(c2))) for _ in range(1 + back)], np.zeros((len(own), len(c2)), np.int64)
+            for s in shared:
+                (p1, a1), (p2, a2) = one[s], two[s]
+                lo, hi = np.searchsorted(p1, [at, at + len(own)])
+                if lo == hi:
+                    continue
+                where = slice(None) if hi - lo == len(own) and len(p2) == len(c2) else np.ix_(p1[lo:hi] - at, p2)
+                positions[where] += 1
+                for total_, d in zip(sums, (lambda: dense(a1[lo:hi], a2), lambda: dense(a2, a1[lo:hi]).T), strict=False):
+                    total_[where] += d()
+            kept = (positions > 0) & (own[:, None] <= c2 if fold else own[:, None] < c2)
+            i, j = np.nonzero(kept)
+            columns = {"s1": pa.array(own[i], kind), "s2": pa.array(c2[j], kind)}
+            if fold:
+                columns |= {"n1": pa.array(n1[at + i], pa.int64()), "n2": pa.array(n2[j], pa.int64())}
+            columns["positions"] = pa.array(positions[kept], pa.int64())
+            yield pa.RecordBatch.from_pydict(columns | {c: pa.array(rounded(x[kept])) for c, x in zip(("d", "d_r"), sums, strict=False)})
+
+    return run
+
+
+def _by_matrices(arrays: DataFrame, m: Method, key: str, alleles: int, digits: int, number: int, fold: bool, blocks: int | None = None) -> DataFrame:
+    """s1, s2, positions, d and, of classes, n1, n2 and d_r, as ``_of_arrays`` gives them, rounded. ``number``: of cells, numbered from 0."""
+    n = int(arrays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = arrays.count()
+    blocks = blocks or max(min(math.ceil(math.sqrt(8 * n)), math.ceil(number / 64)), math.ceil(number / BLOCK_CELLS), math.ceil(rows / BLOCK_ROWS), 1)
+    block = F.floor(F.col("cell").cast("bigint") * blocks / number).cast("int")
+    counts = [F.coalesce(F.try_element_at("ad", F.lit(k + 1)), F.lit(0)).cast("double").alias(f"a{k}") for k in range(alleles)]
+    sized = [F.col("n").cast("bigint").alias("n")] * fold
+    each = arrays.groupBy(block.alias("b"), F.col(key).alias("key")).agg(F.collect_list(F.struct("cell", *sized, *counts)).alias("r"))
+    of = lambda side, low, high, tile: F.transform(F.sequence(low, high), lambda x: F.struct(tile(x).alias("tile"), F.lit(side).alias("side")))
+    tiles = F.concat(of(0, F.col("b"), F.lit(blocks - 1), lambda x: F.col("b") * blocks + x), of(1, F.lit(0), F.col("b"), lambda x: x * blocks + F.col("b")))
+    dealt = each.select("key", "r", F.explode(tiles).alias("t")).select("t.tile", "t.side", "key", "r").repartition(n, "tile")
+    kind = dict(arrays.dtypes)["cell"]
+    back = fold and not m.symmetric
+    run = _tile(m.dense, back, alleles, digits, fold, pa.int32() if kind == "int" else pa.int64())
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    schema = f"s1 {kind}, s2 {kind}, " + "n1 bigint, n2 bigint, " * fold + "positions bigint, d double" + ", d_r double" * back
+    return dealt.groupBy("tile").applyInArrow(run, schema)
+
+
 def classes(arrays: DataFrame, key: str = "site") -> tuple[DataFrame, int, int]:
     """(cell, cls, n, first; how many cells; how many classes): cells with equal arrays at the same sites are a class, numbered from 0 by its first cell, with its size."""
     mark = F.sha2(F.sort_array(F.collect_list(F.struct(key, "ad"))).cast("string").cast("binary"), 256)
@@ -83,9 +168,9 @@ def classes(arrays: DataFrame, key: str = "site") -> tuple[DataFrame, int, int]:
     return copies, *copies.agg(F.count(F.lit(1)), F.countDistinct("cls")).first()
 
 
-def _folded_arrays(obs: DataFrame, min_coverage: int, key: str) -> tuple[DataFrame, DataFrame | None, int]:
+def _folded_arrays(obs: DataFrame, min_coverage: int, key: str, alleles: int | None) -> tuple[DataFrame, DataFrame | None, int]:
     """(arrays of cells or of classes with their size n, copies or None, number of classes): classes where they are half as many as the cells, or fewer."""
-    arrays = checkpointed(covered_arrays(obs, min_coverage, key))
+    arrays = checkpointed(covered_arrays(obs, min_coverage, key) if alleles is None else _counted_arrays(obs, min_coverage, key, alleles))
     copies, cells, kinds = classes(arrays, key)
     if 2 * kinds > cells:
         return arrays, None, 0
@@ -95,12 +180,17 @@ def _folded_arrays(obs: DataFrame, min_coverage: int, key: str) -> tuple[DataFra
 
 def folded(obs: DataFrame, name: str = "pow4", min_coverage: int = 5, key: str = "site", alleles: int | None = None, digits: int | None = None, blocks: int | None = None) -> Folded | DataFrame:
     """The distances d of a method, rounded to ``digits``, and positions: of classes of equal cells where that saves work, else of cells."""
-    arrays, copies, kinds = _folded_arrays(obs, min_coverage, key)
+    arrays, copies, kinds = _folded_arrays(obs, min_coverage, key, alleles)
+    m = method(name)
+    if digits is not None and alleles is not None and min_coverage >= 0 and dict(arrays.dtypes)["cell"] in ("int", "bigint"):
+        number = kinds or (arrays.agg(F.max("cell")).first()[0] or 0) + 1
+        dist = _by_matrices(arrays, m, key, alleles, digits, number, copies is not None, blocks)
+        return dist if copies is None else Folded(dist, copies)
     value = lambda c: F.col(f"`{c}`") if digits is None else F.round(f"`{c}`", digits)
     if copies is None:
         return _of_arrays(arrays, [name], key, alleles, blocks, None).select("s1", "s2", "positions", value(name).alias("d"))
     dist = _of_arrays(arrays, [name], key, alleles, blocks, kinds, True)
-    back = [] if method(name).symmetric else [value(f"{name}_r").alias("d_r")]
+    back = [] if m.symmetric else [value(f"{name}_r").alias("d_r")]
     return Folded(dist.select("s1", "s2", "n1", "n2", "positions", value(name).alias("d"), *back), copies)
 
 
