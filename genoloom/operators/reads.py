@@ -44,12 +44,20 @@ def pileup_umi(reads: DataFrame, order: list[str], scope: tuple[str, ...] = ("si
     return _observed(tagged.unionByName(plain), F.col("__new"))
 
 
-def _observed(reads: DataFrame, new: Column) -> DataFrame:
-    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
+def _counts(new: Column) -> dict[str, Column]:
+    """What a read adds to the counts of an observation; ``new``: it counts as a UMI."""
+    n = lambda cond: F.when(cond, 1).otherwise(0).cast("bigint")
     forward = F.col("forward")
-    return reads.groupBy("site", "cell", "allele").agg(
-        n(forward & new).alias("f_umi"), n(~forward & new).alias("r_umi"), n(forward).alias("f_reads"), n(~forward).alias("r_reads")
-    )
+    return {"f_umi": n(forward & new), "r_umi": n(~forward & new), "f_reads": n(forward), "r_reads": n(~forward)}
+
+
+def _observed(reads: DataFrame, new: Column) -> DataFrame:
+    return reads.groupBy("site", "cell", "allele").agg(*(F.sum(x).alias(c) for c, x in _counts(new).items()))
+
+
+def single(reads: DataFrame, cell: str = "cell") -> DataFrame:
+    """Each read as an observation of its own, as ``pileup`` counts it: for what sums up observations and needs no pileup before."""
+    return reads.select("site", cell, "allele", *(x.alias(c) for c, x in _counts(~F.col("dup")).items()))
 
 
 def mean_quality(qualities: Column) -> Column:

@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from genoloom.operators import pairs
 from genoloom.operators.cluster import numbered
-from genoloom.operators.reads import pileup
+from genoloom.operators.folded import Folded
+from genoloom.operators.reads import pileup, single
 
 ALLELES = 3
+#: Most parts whose sites are sent to every task: about 100 MB there.
+PARTS = 2_000_000
 #: Unique for each read.
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
 
@@ -33,19 +37,32 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(brands, "p_brand").select("site", "p_partkey")
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(*ORDER)
-    rows = lines.join(sites(spark, sf_dir), lines["l_partkey"] == F.col("p_partkey")).join(cells(spark, sf_dir), "l_suppkey")
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site, allele, forward, dup and the columns of ORDER: the reads before their cells are numbered.
+
+    Up to PARTS parts their sites go to every task, so the reads stay where they are; more are joined by an exchange.
+    """
+    lines, at = table(spark, sf_dir, "lineitem").select(*ORDER), sites(spark, sf_dir)
     allele = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
-    return rows.select(
-        "site", "cell", allele.alias("allele"), (F.col("l_linestatus") == "O").alias("forward"), (F.col("l_linenumber") > 4).alias("dup"), (F.col("l_orderkey") % 64).alias("umi"), *ORDER
-    )
+    # narrow columns before the join: who needs no more exchanges no more
+    lines = lines.select(allele.alias("allele"), (F.col("l_linestatus") == "O").alias("forward"), (F.col("l_linenumber") > 4).alias("dup"), *ORDER)
+    at = F.broadcast(at) if table(spark, sf_dir, "part").count() <= PARTS else at.hint("shuffle_hash")
+    return lines.join(at, lines["l_partkey"] == F.col("p_partkey")).drop("p_partkey")
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(spark, sf_dir).join(cells(spark, sf_dir), "l_suppkey").select("site", "cell", "allele", "forward", "dup", (F.col("l_orderkey") % 64).alias("umi"), *ORDER)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup(reads(spark, sf_dir))
 
 
+def distances(spark: SparkSession, sf_dir: str, name: str) -> Folded | DataFrame:
+    """s1, s2, positions, d: distances of a method to 6 digits, by classes of equal cells where that saves work. Reads are counted once, a row a site and cell."""
+    return pairs.folded(single(placed(spark, sf_dir), "l_suppkey"), name, alleles=ALLELES, digits=6, names=cells(spark, sf_dir))
+
+
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cell, grp: a fixed assignment to three clusters."""
     return cells(spark, sf_dir).select("cell", (F.col("l_suppkey") % 3).cast("int").alias("grp"))

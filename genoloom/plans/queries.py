@@ -59,7 +59,7 @@ def query(sql: str | None = None, prelude: bool = True):
 
 def _dist(spark: SparkSession, sf_dir: str, name: str = "pow4") -> Folded | DataFrame:
     """s1, s2, positions, d, by classes of equal cells where that saves work."""
-    return pairs.folded(A.observations(spark, sf_dir), name, alleles=A.ALLELES, digits=6)
+    return A.distances(spark, sf_dir, name)
 
 
 def _distance(spark: SparkSession, sf_dir: str, name: str = "pow4") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from genoloom.operators import folded, pairs
+from genoloom.operators import folded, pairs, reads
 
 METHODS = ["pow4", "pow3", "depthpow2", "chi2", "chi2pow2-0.5"]
 
@@ -39,3 +39,15 @@ def test_matrices_give_the_sums_over_rows(obs, name, blocks, copied):
 def test_no_row_is_made_of_a_pair_and_site(obs):
     plan = pairs.folded(obs(False), alleles=3, digits=6)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "Join" not in plan
+
+
+def test_reads_are_counted_without_a_pileup(spark):
+    """Single reads by a cell's name give what their pileup by the cell's number gives, and are exchanged once."""
+    rng = np.random.default_rng(2)
+    names = spark.createDataFrame([(c, 100 - 7 * c) for c in range(9)], "cell int, who int")
+    rows = [(s, 100 - 7 * c, int(a), bool(f), bool(d)) for c in range(8) for s in range(3) for a, f, d in zip(rng.integers(0, 3, 20), rng.random(20) < 0.5, rng.random(20) < 0.2, strict=True)]
+    lines = spark.createDataFrame([*rows, (1, 999, 0, True, False)], "site int, who int, allele int, forward boolean, dup boolean")
+    one = pairs.folded(reads.single(lines, "who"), alleles=3, digits=6, names=names)
+    two = pairs.folded(reads.pileup(lines.join(names, "who")), alleles=3, digits=6)
+    got, want = (sorted(tuple(r) for r in x.select("s1", "s2", "positions", "d").collect()) for x in (one, two))
+    assert got == want and len(got) == 28
