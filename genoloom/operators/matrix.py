@@ -16,9 +16,10 @@ from genoloom.operators.folded import Folded, by_class, exact_sum, unfolded, way
 
 def symmetric(dist: DataFrame) -> DataFrame:
     """Both directions of each pair."""
-    dist = unfolded(dist)
-    both = F.array(F.struct(F.col("s1").alias("a"), F.col("s2").alias("b")), F.struct(F.col("s2").alias("a"), F.col("s1").alias("b")))
-    return dist.select(F.explode(both).alias("p"), "d").select(F.col("p.a").alias("s1"), F.col("p.b").alias("s2"), "d")
+    # an array of constants: no array or struct is made for a pair
+    both = unfolded(dist).select("s1", "s2", "d", F.explode(F.array(F.lit(True), F.lit(False))).alias("__as"))
+    way = lambda a, b: F.when(F.col("__as"), F.col(a)).otherwise(F.col(b))
+    return both.select(way("s1", "s2").alias("s1"), way("s2", "s1").alias("s2"), "d")
 
 
 def _partners(dist: DataFrame | Folded) -> DataFrame:

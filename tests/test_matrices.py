@@ -51,3 +51,12 @@ def test_reads_are_counted_without_a_pileup(spark):
     two = pairs.folded(reads.pileup(lines.join(names, "who")), alleles=3, digits=6)
     got, want = (sorted(tuple(r) for r in x.select("s1", "s2", "positions", "d").collect()) for x in (one, two))
     assert got == want and len(got) == 28
+
+
+def test_both_directions_make_no_struct_of_a_pair(spark):
+    from genoloom.operators import matrix
+
+    dist = spark.range(3).selectExpr("int(id) s1", "int(id + 1) s2", "id / 2 d")
+    both = matrix.symmetric(dist)
+    assert sorted(map(tuple, both.collect())) == [(0, 1, 0.0), (1, 0, 0.0), (1, 2, 0.5), (2, 1, 0.5), (2, 3, 1.0), (3, 2, 1.0)]
+    assert "struct" not in both._jdf.queryExecution().optimizedPlan().toString()
