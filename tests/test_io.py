@@ -205,3 +205,28 @@ def test_arguments():
     with pytest.raises(SystemExit):
         cli.parsed(tools.GroupDistance, ["--output", "o"])
     assert cli.main(["nothing"]) == 2
+
+
+@pytest.mark.parametrize("numbers", [range(9), range(5, 50, 5)])
+def test_matrix_in_parts(spark, tmp_path, monkeypatch, numbers):
+    """A folder of parts is the matrix in order; lines of two matrices meet without a row a value, and a count of 0 gives null."""
+    import glob
+    import gzip
+
+    numbers = list(numbers)
+    monkeypatch.setattr(sinks, "PART_BYTES", 100)
+    cells = spark.createDataFrame([(c, f"b{i}") for i, c in enumerate(numbers)], "cell int, barcode string")
+    pairs = [(a, b) for a in numbers for b in numbers if a < b and (a + b) % 4]
+    dist = spark.createDataFrame([(a, b, a + b / 8, (a * b) % 3) for a, b in pairs], "s1 int, s2 int, d double, positions bigint")
+    one, d, n = (str(tmp_path / x) for x in ("one.tsv", "d", "n"))
+    sinks.matrix(dist, cells, one)
+    sinks.matrix(dist, cells, d, single=False)
+    sinks.matrix(dist, cells, n, "positions", single=False)
+    files = sorted(glob.glob(f"{d}/*.tsv.gz"), key=lambda f: int(f.split("/")[-1].split(".")[0]))
+    assert len(files) > 2 and "".join(gzip.open(f, "rt").read() for f in files) == open(one).read()
+    place = {c: i for i, c in enumerate(numbers)}
+    assert sorted(map(tuple, text.matrix(spark, d)[0].collect())) == sorted((place[a], place[b], a + b / 8) for a, b in pairs)
+    by, names = text.matrix(spark, d, n)
+    want = [(place[a], place[b], (a + b / 8) / (a * b % 3) if a * b % 3 else None) for a, b in pairs]
+    assert sorted(map(tuple, by.collect()), key=str) == sorted(want, key=str) and names.count() == 9
+    assert "Generate" not in by._jdf.queryExecution().executedPlan().toString()
