@@ -42,7 +42,8 @@ def covered_arrays(obs: DataFrame, min_coverage: int = 5, key: str = "site") ->
 def _counted_arrays(obs: DataFrame, min_coverage: int, key: str, alleles: int, cell: str = "cell") -> DataFrame:
     """``covered_arrays`` with the depths of the first ``alleles`` alleles, in one pass over ``obs``: no site is asked for its last allele."""
     counts = [F.sum(F.when(F.col("allele") == k, depth()).otherwise(0)) for k in range(alleles)]
-    rows = obs.groupBy(key, cell).agg(F.array(*counts).alias("ad"), F.sum(depth()).alias("__t"))
+    # what adds to no depth goes before it is joined and counted
+    rows = (obs.filter(depth() > 0) if min_coverage >= 0 else obs).groupBy(key, cell).agg(F.array(*counts).alias("ad"), F.sum(depth()).alias("__t"))
     return rows.filter(F.col("__t") > min_coverage).select(key, cell, "ad")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoloom.operators import pairs
-from genoloom.operators.cluster import numbered
+from genoloom.operators.cluster import checkpointed, numbered
 from genoloom.operators.folded import Folded
 from genoloom.operators.reads import pileup, single
 
@@ -30,6 +30,11 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(table(spark, sf_dir, "lineitem"), "l_suppkey")
 
 
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cells`` as a table of its own, for what asks for them more than once: line items are read for them once."""
+    return checkpointed(cells(spark, sf_dir))
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site, p_partkey. Brands are numbered apart and joined back, so the parts need no global order."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
@@ -58,14 +63,17 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup(reads(spark, sf_dir))
 
 
-def distances(spark: SparkSession, sf_dir: str, name: str) -> Folded | DataFrame:
-    """s1, s2, positions, d: distances of a method to 6 digits, by classes of equal cells where that saves work. Reads are counted once, a row a site and cell."""
-    return pairs.folded(single(placed(spark, sf_dir), "l_suppkey"), name, alleles=ALLELES, digits=6, names=cells(spark, sf_dir))
+def distances(spark: SparkSession, sf_dir: str, name: str, known: DataFrame | None = None) -> Folded | DataFrame:
+    """s1, s2, positions, d: distances of a method to 6 digits, by classes of equal cells where that saves work. Reads are counted once, a row a site and cell.
+
+    ``known``: the cells, if they are at hand.
+    """
+    return pairs.folded(single(placed(spark, sf_dir), "l_suppkey"), name, alleles=ALLELES, digits=6, names=cells(spark, sf_dir) if known is None else known)
 
 
-def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cell, grp: a fixed assignment to three clusters."""
-    return cells(spark, sf_dir).select("cell", (F.col("l_suppkey") % 3).cast("int").alias("grp"))
+def groups(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """cell, grp: a fixed assignment to three clusters. ``known``: the cells, if they are at hand."""
+    return (cells(spark, sf_dir) if known is None else known).select("cell", (F.col("l_suppkey") % 3).cast("int").alias("grp"))
 
 
 def donors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,9 +57,9 @@ def query(sql: str | None = None, prelude: bool = True):
     return add
 
 
-def _dist(spark: SparkSession, sf_dir: str, name: str = "pow4") -> Folded | DataFrame:
+def _dist(spark: SparkSession, sf_dir: str, name: str = "pow4", known: DataFrame | None = None) -> Folded | DataFrame:
     """s1, s2, positions, d, by classes of equal cells where that saves work."""
-    return A.distances(spark, sf_dir, name)
+    return A.distances(spark, sf_dir, name, known)
 
 
 def _distance(spark: SparkSession, sf_dir: str, name: str = "pow4") -> DataFrame:
