@@ -241,7 +241,8 @@ def group_distance(spark, sf_dir):
 
 @query("SELECT s1 AS cell, grp, round(sum(d), 6) AS sum, any_value(n) AS n FROM sym JOIN grps ON s2 = cell JOIN (SELECT grp, count(*) AS n FROM grps GROUP BY 1) USING (grp) GROUP BY 1, 2")
 def cell_group_distance(spark, sf_dir):
-    return matrix.cell_group_distance(_dist(spark, sf_dir), A.groups(spark, sf_dir)).withColumn("sum", F.round("sum", 6))
+    cells = A.listed(spark, sf_dir)
+    return matrix.cell_group_distance(_dist(spark, sf_dir, known=cells), A.groups(spark, sf_dir, cells)).withColumn("sum", F.round("sum", 6))
 
 
 @query(f", few AS (SELECT * FROM sym WHERE d > {CUTOFF}) SELECT cell FROM cellsd LEFT JOIN (SELECT s1, count(*) AS k FROM few GROUP BY 1) ON s1 = cell WHERE coalesce(k, 0) < 0.25 * (SELECT count(*) FROM cellsd)")
