@@ -206,7 +206,8 @@ def variants_shallow(spark, sf_dir):
 
 @query(f"SELECT cell, (SELECT count(*) FROM cellsd) - n_wrong AS n_overlap, n_wrong FROM (SELECT cell, count(d) AS n_wrong FROM cellsd LEFT JOIN (SELECT * FROM sym WHERE d > {CUTOFF}) ON s1 = cell GROUP BY 1)")
 def dist_overlap(spark, sf_dir):
-    return matrix.overlap(_dist(spark, sf_dir), A.cells(spark, sf_dir), CUTOFF)
+    cells = A.listed(spark, sf_dir)
+    return matrix.overlap(_dist(spark, sf_dir, known=cells), cells, CUTOFF)
 
 
 @query(f"SELECT s1, s2 FROM sym WHERE d > {CUTOFF}")
