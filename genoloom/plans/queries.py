@@ -248,7 +248,8 @@ def cell_group_distance(spark, sf_dir):
 
 @query(f", few AS (SELECT * FROM sym WHERE d > {CUTOFF}) SELECT cell FROM cellsd LEFT JOIN (SELECT s1, count(*) AS k FROM few GROUP BY 1) ON s1 = cell WHERE coalesce(k, 0) < 0.25 * (SELECT count(*) FROM cellsd)")
 def sparse_cells(spark, sf_dir):
-    return matrix.sparse_cells(_dist(spark, sf_dir).filter(F.col("d") > CUTOFF), A.cells(spark, sf_dir))
+    cells = A.listed(spark, sf_dir)
+    return matrix.sparse_cells(_dist(spark, sf_dir, known=cells).filter(F.col("d") > CUTOFF), cells)
 
 
 @query("SELECT * FROM gobs")

@@ -60,7 +60,7 @@ def test_copies_are_one_class(spark, copied):
 
 
 #: Queries that ask for the cells more than once.
-SHARED = ["dist_overlap", "cell_group_distance"]
+SHARED = ["sparse_cells", "dist_overlap", "cell_group_distance"]
 
 
 @pytest.mark.parametrize("name", SHARED)
