@@ -342,7 +342,8 @@ def redistribute_trash(spark, sf_dir):
     " f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY grp, s1 ORDER BY d DESC, s2) = 1) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY grp ORDER BY d DESC, s1 DESC) = 1"
 )
 def split_seed_pair(spark, sf_dir):
-    return cluster.farthest_pair(_dist(spark, sf_dir), A.groups(spark, sf_dir))
+    cells = A.listed(spark, sf_dir)
+    return cluster.farthest_pair(_dist(spark, sf_dir, known=cells), A.groups(spark, sf_dir, cells))
 
 
 @query()
