@@ -333,8 +333,9 @@ def move_costs(spark, sf_dir):
     " QUALIFY row_number() OVER (PARTITION BY cell ORDER BY c, grp) = 1"
 )
 def redistribute_trash(spark, sf_dir):
-    assign = A.groups(spark, sf_dir).filter("cell % 5 <> 0")
-    return groups.redistribute(_dist(spark, sf_dir), assign, A.cells(spark, sf_dir).filter("cell % 5 = 0").select("cell"))
+    cells = A.listed(spark, sf_dir)
+    assign = A.groups(spark, sf_dir, cells).filter("cell % 5 <> 0")
+    return groups.redistribute(_dist(spark, sf_dir, known=cells), assign, cells.filter("cell % 5 = 0").select("cell"))
 
 
 @query(
