@@ -117,14 +117,24 @@ def greedy_split_of(d: np.ndarray, members: list[np.ndarray], seeds: tuple[int,
     following = np.array([m[-1] if m else end for m in left])
     side = {seeds[0]: 0, seeds[1]: 1}
     value = np.nan_to_num(d)
-    total, size = np.stack([value[of[s]].copy() for s in seeds]), np.ones(2)
+    total, size = [value[of[s]].copy() for s in seeds], [1.0, 1.0]
+    # a step a cell: nothing is made anew in it. Classes that are used up have a gap below all others
+    spent, gap = np.where(following < end, 0.0, -np.inf), np.empty(len(d))
+    mean = np.empty(len(d)), np.empty(len(d))
     for _ in range(sum(map(len, left))):
-        mean = total / size[:, None]
-        gap = np.where(following < end, np.abs(mean[0] - mean[1]), -1.0)
-        at = int(np.where(gap == gap.max(), following, end).argmin())
-        k = int(mean[1, at] < mean[0, at])
+        np.divide(total[0], size[0], out=mean[0])
+        np.divide(total[1], size[1], out=mean[1])
+        np.subtract(mean[0], mean[1], out=gap)
+        np.abs(gap, out=gap)
+        gap += spent
+        most = (gap == gap[gap.argmax()]).nonzero()[0]
+        at = int(most[0] if len(most) == 1 else most[following[most].argmin()])
+        k = int(mean[1][at] < mean[0][at])
         side[left[at].pop()] = k
-        following[at] = left[at][-1] if left[at] else end
+        if left[at]:
+            following[at] = left[at][-1]
+        else:
+            following[at], spent[at] = end, -np.inf
         total[k] += value[at]
         size[k] += 1
     return side

@@ -355,8 +355,9 @@ def bisecting_kmeans(spark, sf_dir):
 
 @query()
 def recluster(spark, sf_dir):
-    dist = cluster.checkpointed(_dist(spark, sf_dir))
-    assign, trash = cluster.one_group(A.cells(spark, sf_dir), dist)
+    cells = A.listed(spark, sf_dir)
+    dist = cluster.checkpointed(_dist(spark, sf_dir, known=cells))
+    assign, trash = cluster.one_group(cells, dist)
     assign, trash = cluster.recluster(dist, assign, trash, expected=3)
     return assign.unionByName(trash.withColumn("grp", F.lit(-1).cast(dict(assign.dtypes)["grp"])))
 

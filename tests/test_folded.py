@@ -60,7 +60,7 @@ def test_copies_are_one_class(spark, copied):
 
 
 #: Queries that ask for the cells more than once.
-SHARED = ["redistribute_trash", "split_seed_pair", "sparse_cells", "dist_overlap", "cell_group_distance"]
+SHARED = ["recluster", "redistribute_trash", "split_seed_pair", "sparse_cells", "dist_overlap", "cell_group_distance"]
 
 
 @pytest.mark.parametrize("name", SHARED)
