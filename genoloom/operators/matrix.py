@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genoloom.operators import points as P
 from genoloom.operators.folded import Folded, by_class, exact_sum, unfolded, ways
 
 
@@ -24,6 +25,8 @@ def symmetric(dist: DataFrame) -> DataFrame:
 
 def _partners(dist: DataFrame | Folded) -> DataFrame:
     """cell, k: how many cells a cell has a distance to, for those with any."""
+    if isinstance(dist, P.Points):
+        return P.partners(dist)
     if not isinstance(dist, Folded):
         return symmetric(dist).groupBy(F.col("s1").alias("cell")).agg(F.count(F.lit(1)).alias("k"))
     each = ways(dist).groupBy(F.col("s1").alias("cls")).agg(F.sum("w").alias("k")).filter("k > 0")
