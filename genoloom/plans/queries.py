@@ -350,7 +350,7 @@ def split_seed_pair(spark, sf_dir):
 
 @query()
 def bisecting_kmeans(spark, sf_dir):
-    assign, trash = cluster.bisecting_kmeans(cluster.checkpointed(_dist(spark, sf_dir)), A.cells(spark, sf_dir), 3)
+    assign, trash = cluster.bisecting_kmeans(cluster.checkpointed(_dist(spark, sf_dir, "pow4", None, cluster.IN_ONE_TASK)), A.cells(spark, sf_dir), 3)
     return assign.unionByName(trash.withColumn("grp", F.lit(-1)))
 
 
