@@ -365,7 +365,7 @@ def recluster(spark, sf_dir):
 
 @query()
 def recluster_kmeans(spark, sf_dir):
-    dist = cluster.checkpointed(_dist(spark, sf_dir))
+    dist = cluster.checkpointed(_dist(spark, sf_dir, "pow4", None, cluster.IN_ONE_TASK))
     assign, trash = cluster.bisecting_kmeans(dist, A.cells(spark, sf_dir), 3)
     assign, trash = cluster.recluster(dist, assign, trash, expected=3)
     return assign.unionByName(trash.withColumn("grp", F.lit(-1).cast(dict(assign.dtypes)["grp"])))
